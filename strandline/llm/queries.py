@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.contamination import leaked_items
 from strandline.llm.duplicate_ledger import DuplicateLedger, with_keys
 from strandline.workspace import materialise, read_table, scratch_path
 
@@ -24,3 +25,8 @@ def p4_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.merge(requests)
     ledger.merge(normalised)
     return ledger.rows().select("key", F.col("n").alias("n_copies"), F.col("first_id").alias("first_sql_id"), F.col("first_text").alias("statement"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return leaks.where("verbatim").select("doc_id", "item_id")

@@ -10,7 +10,7 @@ from strandline.llm import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": q.p4_found, "p4_ledger": q.p4_ledger}
+    return {"p4_found": q.p4_found, "p4_ledger": q.p4_ledger, "p7_found": q.p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
