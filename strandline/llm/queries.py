@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.contamination import leaked_items
 from strandline.llm.duplicate_ledger import DuplicateLedger, with_keys
+from strandline.llm.packing import fill_containers
 from strandline.workspace import materialise, read_table, scratch_path
 
 
@@ -27,6 +28,10 @@ def p4_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rows().select("key", F.col("n").alias("n_copies"), F.col("first_id").alias("first_sql_id"), F.col("first_text").alias("statement"))
 
 
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_containers(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "containers"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
     return leaks.where("verbatim").select("doc_id", "item_id")
