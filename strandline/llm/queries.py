@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.contamination import leaked_items
 from strandline.llm.duplicate_ledger import DuplicateLedger, with_keys
+from strandline.llm.language_id import language_segments, relabelled
 from strandline.llm.packing import fill_containers
 from strandline.workspace import materialise, read_table, scratch_path
 
@@ -35,3 +36,13 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
     return leaks.where("verbatim").select("doc_id", "item_id")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document with its confidence, and the document's own language."""
+    return language_segments(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_codes"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = read_table(spark, sf_dir, "lang_codes")
+    return relabelled(p8_segments(spark, sf_dir), codes).select("doc_id", "seg_no", "lang").dropDuplicates()

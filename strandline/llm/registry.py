@@ -10,7 +10,7 @@ from strandline.llm import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": q.p4_found, "p4_ledger": q.p4_ledger, "p6_sequences": q.p6_sequences, "p7_found": q.p7_found}
+    return {"p4_found": q.p4_found, "p4_ledger": q.p4_ledger, "p6_sequences": q.p6_sequences, "p7_found": q.p7_found, "p8_found": q.p8_found, "p8_segments": q.p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
