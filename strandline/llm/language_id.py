@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import language_model as lm
-from strandline.llm.prose import prose
+from strandline.llm.prose import is_unspaced, prose
 from strandline.workspace import materialise
 
 SAMPLE_DOCS = 300
@@ -90,17 +90,20 @@ def training_sentences(texts: DataFrame, codes: dict[str, str]) -> tuple[list[li
 def segment(model: lm.LanguageModel, texts: list[str]) -> list[tuple[list[tuple[str, float, int]], str, float]]:
     """Per prose text its segments (language, confidence, words), and language and confidence of all."""
     vocabulary: dict[str, int] = {}
-    ids, start, border = [], [], []
+    ids, start, cost = [], [], []
     for text in texts:
         start.append(len(ids))
         for sentence in text.split("\n"):
+            last = False
             for k, word in enumerate(sentence.split()):
                 ids.append(vocabulary.setdefault(word, len(vocabulary)))
-                border.append(k == 0)
+                now = is_unspaced(word)
+                cost.append(lm.SWITCH_AT_BORDER if k == 0 else lm.SWITCH_BETWEEN_LETTERS if now and last else lm.SWITCH_INSIDE)
+                last = now
     scores, energy = model.word_scores(list(vocabulary))
     at = np.array(ids, np.int64)
     first, stop = np.array(start, np.int64), np.append(start[1:], len(ids)).astype(np.int64)
-    path = model.decode(model.word_evidence(scores, energy)[at], first, np.array(border))
+    path = model.decode(model.word_evidence(scores, energy)[at], first, np.array(cost, np.float32))
     opens = np.ones(len(path), bool)
     opens[1:] = path[1:] != path[:-1]
     opens[first] = True

@@ -17,8 +17,9 @@ ORDERS = (1, 2, 3, 4, 5)
 #: FTRL: learning rate, its smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 EPOCHS, MINI_BATCH = 2, 128
-#: What a change of language costs in a decoded run, in nats: at a sentence border, and within.
-SWITCH_AT_BORDER, SWITCH_INSIDE = 4.0, 8.0
+#: What a change of language costs in a decoded run, in nats: at a sentence border, between words, and
+#: between letters of a script without blanks, where one letter tells little.
+SWITCH_AT_BORDER, SWITCH_INSIDE, SWITCH_BETWEEN_LETTERS = 4.0, 8.0, 24.0
 #: The share of words that any language may borrow; bounds what one word tells.
 BORROWED = 0.02
 
@@ -84,9 +85,11 @@ class LanguageModel:
         p = self.probabilities(scores, energy, self.word_temperature)
         return np.log((1 - BORROWED) * p + BORROWED / p.shape[1]).astype(np.float32)
 
-    def decode(self, emit: np.ndarray, start: np.ndarray, border: np.ndarray) -> np.ndarray:
-        """The language of each word: the best path where changes cost.  ``start`` begins each text."""
-        cost = np.where(border, SWITCH_AT_BORDER, SWITCH_INSIDE).astype(np.float32)
+    def decode(self, emit: np.ndarray, start: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """The language of each word: the best path where a change before word k costs ``cost[k]``.
+
+        ``start`` begins each text.
+        """
         length = np.diff(np.append(start, len(emit)))
         out = np.zeros(len(emit), np.int16)
         order = np.argsort(length, kind="stable")

@@ -40,6 +40,11 @@ _NEXT = re.compile(r"^(?:commit|From) [0-9a-f]{40}\b", re.M)
 _FENCE = re.compile(r"(?:```|~~~)")
 
 
+def is_unspaced(word: str) -> bool:
+    """Whether this is one letter of a script without blanks."""
+    return len(word) == 1 and word > "\u2e7f" and _CJK_CHAR.match(word) is not None
+
+
 def messages(text: str) -> str:
     """The text without its diffs; what follows a later commit header is message again."""
     out, at = [], 0
