@@ -1,8 +1,8 @@
 """The same results in SQL, for the driver's side-by-side check."""
 
-_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-_TYPE = f"lower(regexp_replace(data_type, '{_BLANK}+', '', 'g'))"
-_COMMENT = f"coalesce(regexp_replace(comment, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '')"
+BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_TYPE = f"lower(regexp_replace(data_type, '{BLANK}+', '', 'g'))"
+_COMMENT = f"coalesce(regexp_replace(comment, '^{BLANK}+|{BLANK}+$', '', 'g'), '')"
 
 P1_FOUND = f"""
 WITH imports AS (

@@ -12,19 +12,24 @@ from strandline.operators.snapshot_diff import SnapshotIndex, SnapshotSpec, orde
 from strandline.sources.nested_json import flatten_payloads, named_columns
 from strandline.workspace import read_table, scratch_path
 
-CATALOG_SPEC = SnapshotSpec(
-    source="source_name",
-    snapshot="import_id",
-    key=("catalog", "schema_name", "table_name", "column_name"),
-    compared={
-        "data_type": canonical_type(F.col("data_type")),
-        "comment": canonical_comment(F.col("comment")),
-        "ordinal": F.col("ordinal"),
-        "is_partition": F.col("is_partition"),
-        "nullable": F.col("nullable"),
-    },
-    version=("loaded_at", "id"),
-)
+COLUMN_KEY = ("catalog", "schema_name", "table_name", "column_name")
+
+
+def catalog_spec() -> SnapshotSpec:
+    """How catalog columns are known and compared."""
+    return SnapshotSpec(
+        source="source_name",
+        snapshot="import_id",
+        key=COLUMN_KEY,
+        compared={
+            "data_type": canonical_type(F.col("data_type")),
+            "comment": canonical_comment(F.col("comment")),
+            "ordinal": F.col("ordinal"),
+            "is_partition": F.col("is_partition"),
+            "nullable": F.col("nullable"),
+        },
+        version=("loaded_at", "id"),
+    )
 
 
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +43,11 @@ def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     imports = read_table(spark, sf_dir, "metadata_imports").withColumnRenamed("id", "import_id")
     order = order_snapshots(imports, "import_id", "source_name", "imported_at")
     index = SnapshotIndex(spark, scratch_path(spark, "catalog-index"))
-    return index.apply(snapshot_rows(spark, sf_dir), order, CATALOG_SPEC)
+    return index.apply(snapshot_rows(spark, sf_dir), order, catalog_spec())
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_changes(spark, sf_dir).select("import_id", *CATALOG_SPEC.key, "change_type")
+    return catalog_changes(spark, sf_dir).select("import_id", *COLUMN_KEY, "change_type")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import data_oracles, data_queries
+from strandline.plans import data_oracles, data_queries, lineage_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "p1_found": data_queries.p1_found,
         "p2_found": data_queries.p2_found,
         "p3_found": data_queries.p3_found,
         "p5_found": data_queries.p5_found,
     }
+    return found | lineage_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_oracles.ORACLES)
+    return data_oracles.ORACLES | lineage_queries.ORACLES | {"p3_found": lineage_queries.P3_FOUND}
