@@ -13,7 +13,7 @@ _QUOTED = {
 }
 _NUMBER = r"(?:\d+\.\d*(?:[eE][+-]?\d+)?|(?<![\w`\"\]])\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)(?![\w.])"
 _WORD = r"[\w$@#]+"
-_COMMENT = r"--[^\r\n]*|/\*(?!\+).*?(?:\*/|\Z)"
+_COMMENT = r"--[^\r\n]*|/\*.*?(?:\*/|\Z)"
 
 _PLAIN = re.compile("|".join([f"(?P<blank>{_BLANKS})", *(f"(?P<{k}>{v})" for k, v in _QUOTED.items()), f"(?P<number>{_NUMBER})", f"(?P<word>{_WORD})", "(?P<op>.)"]), re.S)
 _OPERATORS = r"<=>|\|\||&&|::|->>?|=>|<>|!=|>=|<=|==|."
