@@ -41,7 +41,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         rolling = (rolling[:m] ^ points[n - 1 :]) * np.uint64(1099511628211)
         inner = blanks[n - 1 : n - 1 + m] - blanks[1 : 1 + m] if n > 2 else np.zeros(m, np.int64)
-        good = np.flatnonzero((inner == 0) & (~blank[:m] if n == 1 else ~(blank[:m] & blank[n - 1 :])))
+        good = np.flatnonzero(~blank[:m] if n == 1 else inner == 0)  # two blanks never touch
         h = rolling[good]
         features.append(((h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(47))) & np.uint64(SIZE - 1)).astype(np.int64))
         owners.append(word[good])

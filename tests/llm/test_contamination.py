@@ -53,7 +53,7 @@ def corpus(seed):
     bank = [f"w{k}" for k in range(60)]
     items = {k: [draw.choice(bank) for _ in range(draw.choice((10, 15, 16, 40)))] for k in range(1, 40)}
     docs = {}
-    for k in range(1, 260):
+    for k in range(1, 700):
         own = draw.choice(list(items.values()))
         at = draw.randrange(len(own))
         piece = own[at : at + draw.choice((8, 13, 14, 15, 16, 20, 40))]

@@ -19,7 +19,7 @@ def sentence(draw, lang, n=8):
 
 def test_prose():
     body = "    feat(x): The reader (`GraphEdge`) keeps the order!\n\n    > It returns early, see lib/a_b.py and foo() now.\n\n    Signed-off-by: A B <a@b.c>\n\ndiff --git a/x b/x\n--- a/x\n+the code is no prose\n"
-    assert prose(HEADER + body) == "the reader keeps the order\nit returns early\nsee and now"
+    assert prose(HEADER + body) == "the reader keeps the order\nit returns early see and now"
 
 
 def test_no_prose():
