@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.workspace import materialise
+
 #: Codes and texts of what the analysis reports.
 PARSE_ERROR = "SQL_PARSE_ERROR"
 UNSUPPORTED = "UNSUPPORTED_COMPLEX_QUERY"
@@ -61,7 +63,9 @@ def attach_metadata(facts: DataFrame, columns_by_name: DataFrame) -> DataFrame:
     """Add ``meta``: per distinct table of a statement that has columns its name and the columns that matter.
 
     Only statements that will be resolved look tables up; a table of several parts never matches.
+    Facts are written once, since look-up and result both read them and parsing is the dear part.
     """
+    facts = materialise(facts, "facts")
     resolvable = F.col("parse_ok") & F.col("include_graph") & ~F.col("sniffs_cte") & ~F.col("has_with") & ~F.col("has_subquery")
     wanted = F.array_distinct(F.transform(F.filter("items", lambda i: i["kind"] == "column"), lambda i: i["column_name"]))
     stars = F.exists("items", lambda i: i["kind"] == "star")

@@ -51,8 +51,8 @@ def import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As a commit tells it: payloads whose version exists change nothing."""
-    changes = import_preview(spark, sf_dir)
     flat = _flat(spark, sf_dir)
+    changes = catalog.import_changes(catalog.payload_tables(flat), catalog.payload_columns(flat), "added")
     known = read_table(spark, sf_dir, "metadata_imports").select("metadata_version").dropDuplicates()
     seen = flat["payload"].join(known, "metadata_version", "left_semi").select("payload_id", F.lit("unchanged").alias("seen"))
     kind = F.coalesce("seen", "change_type").alias("change_type")
@@ -195,11 +195,12 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph_tables(spark, sf_dir)
     nodes = nodes.withColumn("ord", F.col("id"))
-    return views.layout(nodes, edges, views.levels(nodes, edges))
+    return views.layout(nodes, edges, views.levels(nodes, edges)).withColumn("y", F.round("y", 6))
 
 
 def graph_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.bounds(graph_layout(spark, sf_dir))
+    box = views.bounds(graph_layout(spark, sf_dir))
+    return box.withColumns({c: F.round(c, 6) for c in ("min_y", "max_y")})
 
 
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +350,35 @@ _STATEMENTS = rf"""texts AS (
   FROM texts WHERE regexp_matches(sql, '\w')
 )"""
 
+_LEVELS = f"""{_GRAPH}, links AS (
+  SELECT e.sql_id, e.source, e.target FROM edges e JOIN nodes t ON t.sql_id = e.sql_id AND t.id = e.target AND t.kind = 'cte' WHERE e.source IS NOT NULL
+), placed(sql_id, id, level) AS (
+  SELECT sql_id, id, 0 FROM nodes WHERE kind = 'table'
+  UNION ALL
+  SELECT sql_id, id, 1 FROM nodes n WHERE kind = 'cte' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.sql_id = n.sql_id AND l.target = n.id)
+  UNION ALL
+  SELECT l.sql_id, l.target, p.level + 1 FROM placed p JOIN links l ON l.sql_id = p.sql_id AND l.source = p.id
+), inner_levels AS (
+  SELECT n.sql_id, n.id, coalesce(p.level, 0) AS level FROM nodes n LEFT JOIN placed p ON p.sql_id = n.sql_id AND p.id = n.id WHERE n.kind <> 'output'
+), levels AS (
+  SELECT * FROM inner_levels UNION ALL
+  SELECT n.sql_id, n.id, 1 + coalesce((SELECT max(level) FROM inner_levels i WHERE i.sql_id = n.sql_id), 0) FROM nodes n WHERE n.kind = 'output'
+)"""
+_LAYOUT = f"""{_LEVELS}, laid AS (
+  SELECT l.sql_id, l.id, l.level, 72 + l.level * 170 AS x,
+         CAST(72 + 56 * (row_number() OVER (PARTITION BY l.sql_id, l.level ORDER BY l.id) - 1) AS DOUBLE) AS y
+  FROM inner_levels l
+), outs AS (
+  SELECT l.sql_id, l.id, l.level, 72 + l.level * 170 AS x,
+         coalesce((SELECT avg(i.y) FROM edges e JOIN laid i ON i.sql_id = e.sql_id AND i.id = e.source WHERE e.sql_id = l.sql_id AND e.target = l.id),
+                  (SELECT avg(i.y) FROM laid i WHERE i.sql_id = l.sql_id), 72.0) AS y
+  FROM levels l JOIN nodes n ON n.sql_id = l.sql_id AND n.id = l.id AND n.kind = 'output'
+), layout AS (SELECT * FROM laid UNION ALL SELECT * FROM outs)"""
+
 ORACLES = {
+    "graph_levels": f"WITH RECURSIVE {_LEVELS} SELECT * FROM levels",
+    "graph_layout": f"WITH RECURSIVE {_LAYOUT} SELECT * REPLACE (round(y, 6) AS y) FROM layout",
+    "graph_bounds": f"WITH RECURSIVE {_LAYOUT} SELECT sql_id, min(x) AS min_x, round(min(y), 6) AS min_y, max(x) + 140 AS max_x, round(max(y) + 40, 6) AS max_y FROM layout GROUP BY sql_id",
     "catalog_tables": f"WITH {_LATEST} SELECT catalog, schema_name, table_name, comment, table_type FROM latest_tables",
     "catalog_columns": f"WITH {_LATEST} SELECT * REPLACE (CAST(is_partition AS INTEGER) AS is_partition, CAST(nullable AS INTEGER) AS nullable) FROM latest",
     "catalog_columns_of_table": f"WITH {_LATEST} SELECT * EXCLUDE (table_id) REPLACE (CAST(is_partition AS INTEGER) AS is_partition, CAST(nullable AS INTEGER) AS nullable) FROM latest WHERE table_name = 'dwd_trade_event_wide_di'",

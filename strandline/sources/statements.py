@@ -78,7 +78,9 @@ def parse_statements(rows: DataFrame) -> DataFrame:
             made = [pa.array([f[n] for f in found], t) for n, t in _FACTS]
             yield pa.RecordBatch.from_arrays([*given, *made], schema=FACTS_SCHEMA)
 
-    facts = rows.mapInArrow(parse, from_arrow_schema(FACTS_SCHEMA))
+    # parsing costs far more than moving the text: spread it whatever the rows' size in bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = rows.repartition(parts, "sql_id").mapInArrow(parse, from_arrow_schema(FACTS_SCHEMA))
     sniffs = F.lower(F.regexp_replace("sql", r"^[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{3000}]+", "")).startswith("with ")
     return facts.withColumn("sniffs_cte", F.coalesce(sniffs, F.lit(False)))
 
