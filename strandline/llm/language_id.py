@@ -28,6 +28,7 @@ from strandline.workspace import materialise
 SAMPLE_DOCS = 300
 SAMPLE_SENTENCES = 12
 SENTENCE_WORDS = (3, 60)  #: training sentences have so many words
+SENTENCE_CHARS = 1000  #: and are drawn from so many characters, which bounds the sample
 MAX_CODES = 10_000  #: notations of language labels
 SEGMENTS = "doc_id long, label string, seg_no long, lang string, confidence double, n_words long, n_segments long, doc_lang string, doc_confidence double"
 
@@ -74,7 +75,7 @@ def training_sentences(texts: DataFrame, codes: dict[str, str]) -> tuple[list[li
         share = F.when(F.col("code") == code, min(1.0, 1.5 * SAMPLE_DOCS / n)).otherwise(share)
     rank = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     drawn = listed.withColumn("rank", rank).where(F.col("rank") < share * (1 << 30))
-    rows = drawn.select("code", "rank", "doc_id", F.slice(F.split("prose", "\n"), 1, SAMPLE_SENTENCES).alias("s")).collect()
+    rows = drawn.select("code", "rank", "doc_id", F.transform(F.slice(F.split("prose", "\n"), 1, SAMPLE_SENTENCES), lambda x: F.substring(x, 1, SENTENCE_CHARS)).alias("s")).collect()
     sentences, labels, taken = [], [], dict.fromkeys(counts, 0)
     for r in sorted(rows, key=lambda r: (r["code"], r["rank"], r["doc_id"])):
         if taken[r["code"]] < SAMPLE_DOCS:

@@ -33,6 +33,13 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "containers"))
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container how many sequences it took and the share of their capacity in use."""
+    kinds = read_table(spark, sf_dir, "containers").select("container_id", "capacity_tokens")
+    used = p6_sequences(spark, sf_dir).groupBy("container_id").agg(F.count_distinct("sequence_id").alias("n_sequences"), F.sum("n_tokens").alias("n_tokens"))
+    return used.join(F.broadcast(kinds.limit(1000)), "container_id").withColumn("fill", F.col("n_tokens") / (F.col("n_sequences") * F.col("capacity_tokens")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
     return leaks.where("verbatim").select("doc_id", "item_id")
@@ -46,3 +53,14 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = read_table(spark, sf_dir, "lang_codes")
     return relabelled(p8_segments(spark, sf_dir), codes).select("doc_id", "seg_no", "lang").dropDuplicates()
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item that align well, with the score."""
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One language and confidence per document with prose."""
+    found = p8_segments(spark, sf_dir).where("seg_no = 1")
+    return found.select("doc_id", F.col("doc_lang").alias("lang"), F.col("doc_confidence").alias("confidence")).dropDuplicates()
