@@ -7,6 +7,7 @@ of statements in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,6 +26,8 @@ _AGGREGATES = frozenset(
 )
 _TYPE_WORDS = {"INTEGER": "INT"}
 _COMPARISONS = {"=": "=", "==": "=", "<>": "<>", "!=": "<>", "<": "<", ">": ">", "<=": "<=", ">=": ">=", "<=>": "<=>"}
+_ADDITIVE = {x: x for x in ("+", "-", "||", "&", "|", "^")}
+_MULTIPLICATIVE = {x: x for x in ("*", "/", "%", "DIV")}
 _UNITS = frozenset("YEAR QUARTER MONTH WEEK DAY HOUR MINUTE SECOND MILLISECOND MICROSECOND YEARS MONTHS WEEKS DAYS HOURS MINUTES SECONDS".split())
 _MAX_DEPTH = 200
 
@@ -425,19 +428,22 @@ class _Parser:
         self.depth += 1
         if self.depth > _MAX_DEPTH:
             raise SqlParseError("nested too deeply")
-        left = self.conjunction()
-        while self.accept("OR"):
-            right = self.conjunction()
-            left = _joined(f"{left.text} OR {right.text}", left, right)
+        found = self.chain(self.conjunction, {"OR": "OR"})
         self.depth -= 1
-        return left
+        return found
+
+    def chain(self, operand: Callable[[], _Expr], operators: dict[str, str]) -> _Expr:
+        """Operands joined by operators of one rank, put together once however many there are."""
+        parts = [operand()]
+        texts = [parts[0].text]
+        while operator := operators.get(self.word()):
+            self.at += 1
+            parts.append(operand())
+            texts += [operator, parts[-1].text]
+        return parts[0] if len(parts) == 1 else _joined(" ".join(texts), *parts)
 
     def conjunction(self) -> _Expr:
-        left = self.negation()
-        while self.accept("AND") or self.accept("&&"):
-            right = self.negation()
-            left = _joined(f"{left.text} AND {right.text}", left, right)
-        return left
+        return self.chain(self.negation, {"AND": "AND", "&&": "AND"})
 
     def negation(self) -> _Expr:
         nots = 0
@@ -505,22 +511,10 @@ class _Parser:
                 return left
 
     def additive(self) -> _Expr:
-        left = self.multiplicative()
-        while self.word() in ("+", "-", "||", "&", "|", "^"):
-            operator = self.word()
-            self.at += 1
-            right = self.multiplicative()
-            left = _joined(f"{left.text} {operator} {right.text}", left, right)
-        return left
+        return self.chain(self.multiplicative, _ADDITIVE)
 
     def multiplicative(self) -> _Expr:
-        left = self.unary()
-        while self.word() in ("*", "/", "%", "DIV"):
-            operator = self.word()
-            self.at += 1
-            right = self.unary()
-            left = _joined(f"{left.text} {operator} {right.text}", left, right)
-        return left
+        return self.chain(self.unary, _MULTIPLICATIVE)
 
     def unary(self) -> _Expr:
         if self.word() in ("-", "+", "~"):
@@ -558,11 +552,11 @@ class _Parser:
         word = token.upper
         if token.kind in ("string", "dquoted"):
             self.at += 1
-            text = token.text if token.kind == "string" else "'" + token.name.replace("'", "\\'") + "'"
+            texts = [token.text if token.kind == "string" else "'" + token.name.replace("'", "\\'") + "'"]
             while self.peek() and self.peek().kind == "string":
-                text += " " + self.peek().text
+                texts.append(self.peek().text)
                 self.at += 1
-            return _Expr(text)
+            return _Expr(" ".join(texts))
         if token.kind == "number" or token.kind == "word" and token.text[0].isdigit() and token.text.rstrip("LlSsDdFfYyBb").isdigit():
             self.at += 1
             return _Expr(token.text)

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 BLANK_CLASS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trim_blanks(c: Column) -> Column:
-    """Without outer blanks of any kind."""
-    return F.regexp_replace(c, f"^{BLANK_CLASS}+|{BLANK_CLASS}+$", "")
+    """Without outer blanks of any kind, in time linear in the text."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def canonical_type(c: Column) -> Column:

@@ -109,7 +109,8 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_lineage(_resolved(spark, sf_dir))
+    """Lineage of the statements whose graph is asked for; the others aren't resolved."""
+    return column_lineage(_resolved(spark, sf_dir).where("include_graph"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,6 +351,39 @@ _STATEMENTS = rf"""texts AS (
   FROM texts WHERE regexp_matches(sql, '\w')
 )"""
 
+_RESOLVED = rf"""shapes AS (
+  SELECT sql_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', 'S', 'g'), '{BLANK}+', ' ', 'g'),
+         '\([^()]*\)', '§', 'g'), '\([^()]*\)', '§', 'g'), '\([^()]*\)', '§', 'g') AS c
+  FROM (SELECT DISTINCT sql_id, sql, dialect, include_graph FROM analyze_requests)
+  WHERE regexp_matches(sql, '\w') AND coalesce(include_graph, true) AND NOT regexp_matches(sql, '(?i)^{BLANK}*with\b')
+), items AS (
+  SELECT sql_id, unnest(range(len(fs))) AS k, trim(unnest(fs)) AS item
+  FROM (SELECT sql_id, string_split(regexp_extract(c, '(?i)^ ?select (?:distinct )?(.*?)[ §]from ', 1), ',') AS fs FROM shapes)
+), columns AS (
+  SELECT sql_id, k, regexp_extract(item, '^`?(\w+)`?\.', 1) AS q, regexp_extract(item, '^(?:`?\w+`?\.)?`?(\w+)`?', 1) AS col,
+         regexp_extract(item, '(?i)^(?:`?\w+`?\.)?`?\w+`? (?:as )?[`"]?(\w+)[`"]?$', 1) AS alias
+  FROM items WHERE regexp_full_match(item, '(?i)(?:`?\w+`?\.)?`?[a-z_]\w*`?(?: (?:as )?[`"]?\w+[`"]?)?')
+), table_lists AS (
+  SELECT sql_id, regexp_extract_all(c, '(?i)\b(?:from|join) ({_NAME})', 1) AS names, regexp_extract_all(c, '(?i)\b(?:from|join) {_NAME}(?: (?:as )?([`"]?\w+[`"]?))?', 1) AS aliases FROM shapes
+), tables AS (
+  SELECT sql_id, k, name, CASE WHEN coalesce(alias, '') = '' OR lower(alias) IN ('left', 'right', 'inner', 'full', 'join', 'on', 'where', 'group', 'order', 'having', 'limit')
+                               THEN split_part(name, '.', -1) ELSE alias END AS alias
+  FROM (SELECT sql_id, unnest(range(len(names))) AS k, regexp_replace(unnest(names), '[`"]', '', 'g') AS name, regexp_replace(unnest(aliases), '[`"]', '', 'g') AS alias FROM table_lists)
+), known AS (SELECT table_name, list(name) AS names FROM latest GROUP BY table_name),
+counted AS (
+  SELECT t.sql_id, count(*) AS n, count(c.table_name) AS n_known, min(t.name) AS only FROM tables t LEFT JOIN known c ON c.table_name = t.name GROUP BY t.sql_id
+), owners AS (
+  SELECT i.*, CASE WHEN i.q <> '' THEN coalesce((SELECT arg_max(t.name, t.k) FROM tables t WHERE t.sql_id = i.sql_id AND t.alias = i.q),
+                                                 (SELECT min(t.name) FROM tables t WHERE t.sql_id = i.sql_id AND t.name = i.q))
+                   WHEN n.n = 1 THEN n.only END AS owner,
+         CASE WHEN i.q = '' AND n.n > 1 AND n.n_known = n.n THEN
+           (SELECT CASE WHEN count(*) = 1 THEN min(t.name) END FROM tables t JOIN known c ON c.table_name = t.name WHERE t.sql_id = i.sql_id AND list_contains(c.names, i.col)) END AS holder
+  FROM columns i JOIN counted n USING (sql_id)
+), lineage AS (
+  SELECT o.sql_id, o.k, coalesce(o.owner, o.holder) AS source_table, o.col AS source_column, CASE WHEN o.alias <> '' THEN o.alias ELSE o.col END AS output_column
+  FROM owners o LEFT JOIN known c ON c.table_name = o.owner
+  WHERE coalesce(o.owner, o.holder) IS NOT NULL AND (o.owner IS NULL OR c.names IS NULL OR list_contains(c.names, o.col))
+)"""
 _LEVELS = f"""{_GRAPH}, links AS (
   SELECT e.sql_id, e.source, e.target FROM edges e JOIN nodes t ON t.sql_id = e.sql_id AND t.id = e.target AND t.kind = 'cte' WHERE e.source IS NOT NULL
 ), placed(sql_id, id, level) AS (
@@ -376,6 +410,9 @@ _LAYOUT = f"""{_LEVELS}, laid AS (
 ), layout AS (SELECT * FROM laid UNION ALL SELECT * FROM outs)"""
 
 ORACLES = {
+    "lineage_columns": f"""WITH {_LATEST}, {_RESOLVED} SELECT sql_id, CAST(row_number() OVER (PARTITION BY sql_id ORDER BY k) - 1 AS INTEGER) AS ord,
+        source_table, source_column, output_column FROM lineage""",
+    "lineage_roll_up": f"WITH {_LATEST}, {_RESOLVED} SELECT DISTINCT sql_id, source_table, output_column FROM lineage",
     "graph_levels": f"WITH RECURSIVE {_LEVELS} SELECT * FROM levels",
     "graph_layout": f"WITH RECURSIVE {_LAYOUT} SELECT * REPLACE (round(y, 6) AS y) FROM layout",
     "graph_bounds": f"WITH RECURSIVE {_LAYOUT} SELECT sql_id, min(x) AS min_x, round(min(y), 6) AS min_y, max(x) + 140 AS max_x, round(max(y) + 40, 6) AS max_y FROM layout GROUP BY sql_id",

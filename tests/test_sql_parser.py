@@ -71,3 +71,11 @@ def test_constructs_are_accepted():
         "select x::array<int>, named_struct('a', 1).a from t", "select a from t where b between 1 and 2 and c like '%x' escape '!' or not d <=> null", "with recursive r(n) as (select 1 union all select n + 1 from r) select n from r",
     ):
         assert parse_facts(sql)[1] is None, sql
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["select " + "+".join(["a"] * 50_000) + " from t", "select a from t where " + " and ".join(["b = 1"] * 20_000), "select " + ", ".join(["a"] * 20_000) + " from t", "select a from t where x in (" + ", ".join(["1"] * 50_000) + ")", "select '" + "x" * 500_000 + "' from t"],
+)
+def test_long_statements(sql):
+    assert parse_facts(sql)[1] is None
