@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,23 +47,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _hash(parts: list[str]) -> str:
-    return hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+def _running_hashes(own: list[str], at: set[int]) -> dict[int, str]:
+    """Hashes of the first n words for every n asked for, in one pass."""
+    state, out = hashlib.blake2b(digest_size=16), {}
+    for n, word in enumerate(own, 1):
+        state.update(word.encode("utf-8", "surrogatepass") + b"\x1f")
+        if n in at:
+            out[n] = state.hexdigest()
+    return out
 
 
 def _edges_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per item its beginnings and endings of whole sentences: where they end, and their hashes."""
+    """Per item its beginnings and endings of whole sentences: how many words, and their hashes."""
     for batch in batches:
         rows = []
         for item, text in zip(batch["item_id"], batch["text"]):
-            cuts = [len(words(text[: m.end()])) for m in _SENTENCE_END.finditer(text)]
-            own = words(text)
-            whole = _hash(own)
-            for cut in sorted(set(cuts)):
-                if SHARED_WORDS <= cut:
-                    rows.append((item, whole, "head", cut, _hash(own[:cut])))
-                if SHARED_WORDS <= len(own) - cut:
-                    rows.append((item, whole, "tail", len(own) - cut, _hash(own[cut:])))
+            low = text.lower()
+            own, ends = words(text), [m.end() for m in _WORD.finditer(low)]
+            cuts = {bisect_right(ends, m.end()) for m in _SENTENCE_END.finditer(low)}
+            heads = _running_hashes(own, {c for c in cuts if c >= SHARED_WORDS} | {len(own)})
+            tails = _running_hashes(own[::-1], {len(own) - c for c in cuts if len(own) - c >= SHARED_WORDS})
+            whole = heads.get(len(own), "")
+            rows += [(item, whole, "head", n, h) for n, h in heads.items() if n in cuts and n >= SHARED_WORDS]
+            rows += [(item, whole, "tail", n, h) for n, h in tails.items()]
         yield pd.DataFrame(rows, columns=["item_id", "whole", "side", "n", "edge"])
 
 

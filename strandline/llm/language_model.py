@@ -17,6 +17,7 @@ ORDERS = (1, 2, 3, 4, 5)
 #: FTRL: learning rate, its smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 EPOCHS, MINI_BATCH = 2, 128
+_STEPS = 2_000_000  #: words that are decoded at once
 #: What a change of language costs in a decoded run, in nats: at a sentence border, between words, and
 #: between letters of a script without blanks, where one letter tells little.
 SWITCH_AT_BORDER, SWITCH_INSIDE, SWITCH_BETWEEN_LETTERS = 4.0, 8.0, 24.0
@@ -94,8 +95,13 @@ class LanguageModel:
         out = np.zeros(len(emit), np.int16)
         order = np.argsort(length, kind="stable")
         order = order[length[order] > 0]
-        for k in range(0, len(order), 512):
-            part = order[k : k + 512]
+        k = 0
+        while k < len(order):  # texts of like length together, so many that the table of steps stays small
+            room = max(1, min(512, len(order) - k, _STEPS // int(length[order[k]])))
+            while room > 1 and room * int(length[order[k + room - 1]]) > _STEPS:
+                room //= 2
+            part = order[k : k + room]
+            k += room
             first, size = start[part], length[part]
             back = np.zeros((int(size.max()), len(part), emit.shape[1]), np.int8)
             best = emit[first].copy()

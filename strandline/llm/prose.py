@@ -27,10 +27,11 @@ _PREFIX = re.compile(
     r"(?:\[[^\]\n]{0,40}\]\s*|\(?#\d+\)?:?\s+|[A-Z]{2,10}-\d+:?\s+|(?:feat|fix|docs?|style|refactor|perf|tests?|build|ci|chore|revert|vendor|deps|wip|hotfix|bugfix)(?:\([^)\n]*\))?!?:\s*)+", re.I
 )
 _MARKER = re.compile(r"(?:[>|+\-*•#;%/\"]+\s+|//+\s*|/\*+\s*|\d+[.)]\s+)+")
+#: Starts only where a run starts and gives nothing back, so that long runs cost linear time.
 _IDENTIFIER = re.compile(
-    r"`[^`\n]*`|https?://\S+|<[^>\s]*>"
-    r"|[!-~]*[\d_/\\@#=<>{}\[\]|~^$%*+&][!-~]*"  # tokens with digits or marks of code
-    r"|\b[\w-]+\([^()\n]*\)|\b[A-Za-z][\w-]*\.[a-z]{1,6}\b(?!\s*[A-Z])|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|(?<!\w)--?[a-z][\w-]*"
+    r"`[^`\n]*`|https?://\S+"
+    r"|(?<![!-~])[!-~]*[\d_/\\@#=<>{}\[\]|~^$%*+&][!-~]*"  # tokens with digits or marks of code
+    r"|(?<![\w-])[\w-]++\([^()\n]*\)|(?<![\w-])[A-Za-z][\w-]*+\.[a-z]{1,6}\b(?!\s*[A-Z])|\b[a-z]++[A-Z]\w*|\b[A-Z][a-z]++[A-Z]\w*|(?<!\w)--?[a-z][\w-]*"
 )
 _CJK = "⺀-〇々〡-〩㐀-䶿一-鿿豈-﫿぀-ヿㇰ-ㇿｦ-ﾟ가-힯"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+(?:['’ʼ-][^\W\d_{_CJK}]+)*|[.!?…。！？:;]+(?=\s|$|[{_CJK}])|[。！？]")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as s
 
 from strandline.llm.alignment import nearly_verbatim, smith_waterman
-from strandline.llm.contamination import WINDOW, ItemBlock, find_leaks, leaked_items, words
+from strandline.llm.contamination import WINDOW, ItemBlock, find_leaks, leaked_items, shared_edges, words
 
 ids = s.lists(s.integers(0, 5), min_size=1, max_size=14)
 
@@ -87,6 +87,15 @@ def test_shared_instruction_does_not_count(spark):
     assert got == {(2, 1), (3, 0), (3, 7)}
 
 
+def test_shared_endings_of_sentences(spark):
+    """Endings count like beginnings; a long item costs linear time."""
+    ending = "Answer in one short sentence and do not quote any of the words above."
+    own = [" ".join(f"{c}{k}" for k in range(20)) + ". " for c in "ab"]
+    rows = [(0, own[0] + ending), (1, own[1] + ending), (2, "one two three. " * 30_000)]
+    found = {r["item_id"]: (r["head"], r["tail"]) for r in shared_edges(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert found == {0: (None, 14), 1: (None, 14)}
+
+
 def test_common_phrases_are_still_found():
     """Items that share all but a name: seeds that stay rare enough must not be lost."""
     items = [(k, words(f"how many spools does {chr(97 + k)}x hold at the end and who has to flush them again")) for k in range(26)]

@@ -1,6 +1,7 @@
 """Prose extraction, the classifier on held-out text, and segments."""
 
 import random
+import time
 
 import numpy as np
 
@@ -36,6 +37,14 @@ def test_scripts_without_blanks():
     assert prose("docs: 导入") == ""
 
 
+def test_very_long_texts_cost_linear_time():
+    began = time.perf_counter()
+    for unit in ("a", "/", "<", "a-", "`", "f(", "A", "a.", "> ", "[", "#1 ", "aB", "漢", "a'", "one two three. "):
+        prose(unit * 100_000)
+        prose("x" + " " * 100_000 + unit * 1000)
+    assert time.perf_counter() - began < 20
+
+
 def test_text_after_a_later_header():
     text = "One fine thing.\ndiff --git a/x b/x\n+code line here\ncommit " + "a" * 40 + "\nAuthor: X\n\n    Another fine thing.\n"
     assert prose(text) == "one fine thing\nanother fine thing"
@@ -81,6 +90,13 @@ def test_segments_between_and_inside_sentences():
 DOCS = "doc_id long, lang string, text string, label string, prose string"
 
 
+def test_one_very_long_text_among_short_ones():
+    trained, draw = model(4)
+    texts = [sentence(draw, "aa") for _ in range(600)] + ["\n".join(sentence(draw, "bb") for _ in range(5000))]
+    found = segment(trained, texts)
+    assert [f[0][0][0] for f in found] == ["aa"] * 600 + ["bb"] and len(found[-1][0]) == 1
+
+
 def test_operator(spark):
     draw = random.Random(3)
     rows = []
