@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,23 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import digest
 from strandline.plans.ordered import with_neighbours
+from strandline.workspace import materialise
 
 _KEY, _HASH = "_key", "_hash"
 
 
+@contextmanager
+def _buckets_suffice(spark: SparkSession) -> Iterator[None]:
+    """Let joins on (key, snapshot) use the buckets of the key; else Spark shuffles by both."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass(frozen=True)
 class SnapshotSpec:
     """Names of the columns; ``compared`` maps each value column to the form in which it is compared."""
@@ -92,7 +106,8 @@ class SnapshotIndex:
         ``rows`` holds the new snapshots; ``order`` comes from :func:`order_snapshots` over all
         snapshots known so far, those of a source arriving in order.  Result: the snapshot, the key columns, ``change_type`` and the
         structs ``old`` and ``new`` (null where there is none).  A source's first snapshot yields
-        nothing; a snapshot without rows removes all keys.  Rows of unknown snapshots don't count.
+        nothing; a snapshot without rows removes all keys.  Rows of unknown snapshots don't count.  Changes
+        are written before the index is swapped.
         """
         s = spec.snapshot
         values = list(spec.compared)
@@ -128,8 +143,10 @@ class SnapshotIndex:
         kind = F.when(F.col("d._gone"), "removed").when(F.col("d._fresh"), "added").otherwise("changed")
         key = F.coalesce("n._k", "o._k")
         changes = got.select(F.col("d._at").alias(s), *[key[k].alias(k) for k in spec.key], kind.alias("change_type"), F.col("o._v").alias("old"), F.col("n._v").alias("new"))
+        with _buckets_suffice(self.spark):
+            told = materialise(changes, "changes")
         self._swap(index, spec)
-        return changes
+        return told
 
     def _swap(self, stored: DataFrame, spec: SnapshotSpec) -> None:
         """Write the last snapshot of every source as the new index, then turn the pointer."""
