@@ -146,7 +146,7 @@ class CatalogStore:
     def __init__(self, spark, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         for name, schema in (("imports", IMPORTS), ("tables", TABLES), ("columns", COLUMNS)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{name}")
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}")
 
     def imports(self) -> DataFrame:
         return self.spark.read.schema(IMPORTS).parquet(f"{self.root}/imports")

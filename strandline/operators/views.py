@@ -185,6 +185,32 @@ def neighbourhood(edges: DataFrame, selected: DataFrame) -> DataFrame:
     return near.select("sql_id", F.col("other").alias("id")).unionByName(near.select("sql_id", "id")).dropDuplicates()
 
 
+def upstream(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """``sql_id, start, id, distance``: all that feeds each selected node, by the shortest way.
+
+    ``selected`` has sql_id, id.  A node on a loop feeds itself at the length of the loop; every pair comes
+    once, so loops end.
+    """
+    links = materialise(edges.where("source <> '' and target <> ''").select("sql_id", F.col("target").alias("id"), "source").dropDuplicates(), "links")
+    front = selected.select("sql_id", F.col("id").alias("start"), "id").dropDuplicates()
+    found, distance = None, 0
+    while True:
+        block = None
+        for _ in range(_ROUNDS_PER_JOB):
+            distance += 1
+            front = front.join(links, ["sql_id", "id"]).select("sql_id", "start", F.col("source").alias("id")).dropDuplicates()
+            step = front.withColumn("distance", F.lit(distance))
+            block = step if block is None else block.unionByName(step)
+        block = block.groupBy("sql_id", "start", "id").agg(F.min("distance").alias("distance"))
+        if found is not None:
+            block = block.join(found, ["sql_id", "start", "id"], "left_anti")
+        block = materialise(block, "upstream")
+        if block.isEmpty():
+            return block if found is None else found
+        found = block if found is None else found.unionByName(block)
+        front = block.where(F.col("distance") == distance).drop("distance")
+
+
 def highlights(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame, mode: str) -> DataFrame:
     """``sql_id, kind, id`` of what a view marks: expressions, entities with diagnostics, joins and CTEs."""
     shown_nodes, shown_edges = view(nodes, edges, mode)

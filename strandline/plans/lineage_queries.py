@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.sql_format import formatted
 from strandline.operators import analysis, catalog, expression_lineage, structure, views
 from strandline.operators.lineage import attach_metadata, column_lineage, resolve
 from strandline.plans.data_oracles import BLANK
@@ -210,6 +211,17 @@ def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.neighbourhood(edges.where("source is not null"), nodes.where("node_type = 'output'"))
 
 
+def graph_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that feeds each statement's result."""
+    nodes, edges = graph_tables(spark, sf_dir)
+    return views.upstream(edges, nodes.where("node_type = 'output'"))
+
+
+def formatted_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = st.statements(read_table(spark, sf_dir, "analyze_requests"))
+    return rows.select("sql_id", formatted(F.col("sql")).alias("formatted"))
+
+
 def graph_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph_tables(spark, sf_dir)
     return views.highlights(nodes, edges, nodes, "subquery")
@@ -288,7 +300,7 @@ QUERIES = {
         import_change_groups, import_log_counts, parse_status, output_fields, source_tables, source_locations, structure_edges_of_statements, lineage_columns,
         analysis_summary, analysis_diagnostics, analysis_nodes, analysis_edges, analysis_json, diagnostic_counts, expression_mappings, lineage_roll_up,
         statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds,
-        graph_neighbourhood, graph_highlights, graph_search, column_table_links, cursor_matches, completion_order, hover_columns,
+        graph_neighbourhood, graph_upstream, formatted_statements, graph_highlights, graph_search, column_table_links, cursor_matches, completion_order, hover_columns,
     )
 } | {"golden_cte_exec": golden_cte_exec, "golden_join_exec": golden_join_exec}
 
@@ -452,6 +464,10 @@ ORACLES = {
           AND NOT EXISTS (SELECT 1 FROM held h WHERE h.sql_id = n.sql_id AND h.source = n.id AND h.target = o.target)""",
     "graph_neighbourhood": f"""WITH {_GRAPH}, touching AS (SELECT e.* FROM edges e WHERE e.source IS NOT NULL AND EXISTS (SELECT 1 FROM nodes n WHERE n.sql_id = e.sql_id AND n.kind = 'output' AND n.id IN (e.source, e.target)))
         SELECT sql_id, source AS id FROM touching UNION SELECT sql_id, target FROM touching""",
+    "graph_upstream": f"""WITH RECURSIVE {_GRAPH}, walk(sql_id, start, id, distance) AS (
+        SELECT e.sql_id, n.id, e.source, 1 FROM nodes n JOIN edges e ON e.sql_id = n.sql_id AND e.target = n.id WHERE n.kind = 'output' AND e.source IS NOT NULL
+        UNION SELECT w.sql_id, w.start, e.source, w.distance + 1 FROM walk w JOIN edges e ON e.sql_id = w.sql_id AND e.target = w.id WHERE e.source IS NOT NULL AND w.distance < 500
+      ) SELECT sql_id, start, id, min(distance) AS distance FROM walk GROUP BY 1, 2, 3""",
     "graph_highlights": f"WITH {_GRAPH} SELECT sql_id, 'node' AS kind, id FROM nodes WHERE kind = 'cte'",
     "graph_search": f"""WITH {_GRAPH} SELECT sql_id, id AS entity_id, split_part(label, '.', -1) AS display_name, 'source' AS type FROM nodes
         WHERE kind <> 'output' AND contains(lower(split_part(label, '.', -1)), 'order')""",

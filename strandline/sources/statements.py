@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -41,6 +41,21 @@ def normalized_dialect(c: Column) -> Column:
     return F.when(name.isin(*DIALECTS), name).otherwise(DIALECTS[0])
 
 
+#: A request as clients send it, one JSON object a line.
+REQUEST_SCHEMA = (
+    "sql_id long, sql string, dialect string, analysis_level string, default_catalog string, default_schema string, metadata_version string, "
+    "case_sensitive boolean, include_graph boolean, analysis_options struct<include_graph:boolean>"
+)
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Requests from JSON lines, or from Parquet where the path ends so.  Damaged lines have a null text."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    rows = spark.read.schema(REQUEST_SCHEMA).json(path)
+    return rows.withColumn("include_graph", F.coalesce("include_graph", "analysis_options.include_graph")).drop("analysis_options")
+
+
 def statements(requests: DataFrame, sql_id: str = "sql_id", sql: str = "sql") -> DataFrame:
     """``sql_id, sql, dialect, include_graph``; whole-row repeats count once, rows without id are left out.
 

@@ -4,7 +4,7 @@ import json
 
 from strandline.operators import catalog, expression_lineage, views
 from strandline.sources.nested_json import flatten_payloads
-from strandline.sources.statements import normalized_dialect, output_fields, parse_statements, source_locations, source_tables, statements
+from strandline.sources.statements import normalized_dialect, output_fields, parse_statements, read_requests, source_locations, source_tables, statements
 from strandline.workspace import scratch_path
 
 F_ORD = {
@@ -96,6 +96,20 @@ def test_look_ups(spark):
     assert {r["event"]: r["next_mode"] for r in views.render_mode(events).collect()} == {"FOCUS_FIELD": "focus_field", "nothing": "m"}
 
 
+def test_upstream_with_loop(spark):
+    _, edges = graph(spark)
+    picked = spark.createDataFrame([(1, "query_result:final"), (1, "cte:l")], "sql_id long, id string")
+    found = {(r["start"].split(":")[1], r["id"].split(":")[1], r["distance"]) for r in views.upstream(edges, picked).collect()}
+    assert found == {("final", "b", 1), ("final", "a", 2), ("final", "u", 2), ("final", "db.t", 3), ("l", "m", 1), ("l", "l", 2)}
+    assert views.upstream(edges, picked.where("false")).count() == 0
+
+
+def test_requests_from_json(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"sql_id": 1, "sql": "select a from t", "analysis_options": {"include_graph": false}}\n{broken\n{"sql_id": 2, "sql": null}\n')
+    rows = {r["sql_id"]: (r["sql"], r["include_graph"]) for r in statements(read_requests(spark, str(tmp_path / "r.json"))).collect()}
+    assert rows == {1: ("select a from t", False), 2: (None, True)}
+
+
 def test_shown_types(spark):
     rows = spark.createDataFrame([("physical_column",), ("odd",), (None,)], "t string")
     assert [tuple(r) for r in rows.select(views.shown_node_type(rows.t), views.shown_edge_type(rows.t), views.node_tag(rows.t)).collect()] == [("column", "table", None), ("output", "table", None), ("output", "table", None)]
