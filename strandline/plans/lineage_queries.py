@@ -162,7 +162,7 @@ def statement_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``structure_edges``; a node's type is that of its id's prefix."""
     rows = read_table(spark, sf_dir, "structure_edges").select("sql_id", "source", "target", F.lower("edge_type").alias("edge_type"))
-    edge_id = F.concat(F.lit("edge:"), F.coalesce("source", F.lit("")), F.lit("->"), "target")
+    edge_id = F.concat(F.lit("edge:"), F.coalesce("source", F.lit("")), F.lit("->"), F.coalesce("target", F.lit("")))
     edges = rows.groupBy("sql_id", "source", "target").agg(F.max("edge_type").alias("edge_type")).withColumn("id", edge_id)
     prefix = F.element_at(F.split("id", ":"), 1)
     kind = F.when(prefix == "physical_table", "table").when(prefix == "cte", "cte").otherwise("output")
@@ -453,7 +453,7 @@ ORACLES = {
                CASE WHEN cte AND k = 0 THEN 'cte:' || cte_name ELSE 'query_result:final' END AS target,
                CASE WHEN cte AND k = 0 THEN 'table_to_cte' WHEN cte AND name = cte_name THEN 'cte_to_result' ELSE 'table_to_result' END AS edge_type
         FROM flat WHERE cte OR cte_name = ''""",
-    "graph_dangling": f"WITH {_GRAPH} SELECT DISTINCT sql_id, 'edge:->' || target AS edge_id FROM edges WHERE source IS NULL",
+    "graph_dangling": f"WITH {_GRAPH} SELECT DISTINCT sql_id, 'edge:' || coalesce(source, '') || '->' || coalesce(target, '') AS edge_id FROM edges WHERE source IS NULL OR target IS NULL",
     "graph_view_nodes": f"""WITH {_GRAPH} SELECT sql_id, id, kind AS type, split_part(label, '.', -1) AS label, CASE kind WHEN 'table' THEN 'TBL' END AS tag FROM nodes""",
     "graph_view_edges": f"WITH {_GRAPH} SELECT sql_id, source, target, {_SHOWN} AS type FROM edges WHERE source IS NOT NULL",
     "graph_table_view": f"""WITH {_GRAPH}, outs AS (SELECT sql_id, min(id) AS target FROM nodes WHERE kind = 'output' GROUP BY 1 HAVING count(*) = 1),
