@@ -73,7 +73,7 @@ SELECT sql_id, node,
 FROM rest r
 """
 
-P5_FOUND = f"""
+_PERIODS = f"""
 WITH settled AS (
   SELECT column_id, changed_at,
          CASE WHEN coalesce(change_type = 'removed', false) THEN NULL
@@ -87,9 +87,15 @@ WITH settled AS (
 ), periods AS (
   SELECT column_id, state, changed_at, lead(changed_at) OVER (PARTITION BY column_id ORDER BY changed_at) AS until FROM changes
 )
+"""
+P5_FOUND = _PERIODS + """
 SELECT column_id, CAST(floor(epoch(changed_at)) AS BIGINT) AS valid_from_s,
        CAST(coalesce(floor(epoch(until)), -1) AS BIGINT) AS valid_to_s
 FROM periods WHERE state IS NOT NULL
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND}
+P5_HISTORY = _PERIODS + """
+SELECT column_id, state.t AS data_type, state.c AS comment, changed_at AS valid_from, until AS valid_to FROM periods WHERE state IS NOT NULL
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_history": P5_HISTORY}

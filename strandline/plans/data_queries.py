@@ -60,6 +60,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_columns(flatten_payloads(read_table(spark, sf_dir, "metadata_payloads")))
 
 
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type and comment before and after every changed column."""
+    changed = catalog_changes(spark, sf_dir).where("change_type = 'changed'")
+    return changed.select("import_id", *COLUMN_KEY, *[F.col(side)[c].alias(f"{side}_{c}") for side in ("old", "new") for c in ("data_type", "comment")])
+
+
+def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = flatten_payloads(read_table(spark, sf_dir, "metadata_payloads"))
+    return flat["table"].select("payload_id", "table_pos", "catalog", "schema", "table_name", "name", "table_type")
+
+
+def p3_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = flatten_payloads(read_table(spark, sf_dir, "metadata_payloads"))
+    return flat["column"].select("payload_id", "table_pos", "column_pos", "name", "data_type", "comment")
+
+
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = read_table(spark, sf_dir, "column_updates").select("update_id", "column_id", "change_type", "data_type", "comment", "changed_at", "received_at")
     state = {"data_type": canonical_type(F.col("data_type")), "comment": canonical_comment(F.col("comment"))}

@@ -160,8 +160,8 @@ def statement_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of ``structure_edges``; a node's type is that of its id's prefix."""
-    rows = read_table(spark, sf_dir, "structure_edges").select("sql_id", "source", "target", F.lower("edge_type").alias("edge_type"))
+    """Nodes and edges of ``structure_edges``, without rows of no statement; a node's type is that of its id's prefix."""
+    rows = read_table(spark, sf_dir, "structure_edges").where("sql_id is not null").select("sql_id", "source", "target", F.lower("edge_type").alias("edge_type"))
     edge_id = F.concat(F.lit("edge:"), F.coalesce("source", F.lit("")), F.lit("->"), F.coalesce("target", F.lit("")))
     edges = rows.groupBy("sql_id", "source", "target").agg(F.max("edge_type").alias("edge_type")).withColumn("id", edge_id)
     prefix = F.element_at(F.split("id", ":"), 1)
@@ -485,3 +485,8 @@ SELECT payload_id, table_pos, table_name, column_pos, column_name FROM named_col
 UNION ALL
 SELECT payload_id, table_pos, table_name, CAST(-1 AS BIGINT), '' FROM named_tables n
 WHERE NOT EXISTS (SELECT 1 FROM named_columns c WHERE c.payload_id = n.payload_id AND c.table_pos = n.table_pos)"""
+P3_TABLES = f"""WITH {_PAYLOADS}
+SELECT payload_id, table_pos, t ->> '$.catalog' AS catalog, t ->> '$.schema' AS schema, t ->> '$.table_name' AS table_name, t ->> '$.name' AS name, t ->> '$.table_type' AS table_type
+FROM table_rows WHERE json_type(t) = 'OBJECT'"""
+P3_COLUMNS = f"""WITH {_PAYLOADS}
+SELECT payload_id, table_pos, column_pos, c ->> '$.name' AS name, c ->> '$.data_type' AS data_type, c ->> '$.comment' AS comment FROM column_rows WHERE json_type(c) = 'OBJECT'"""

@@ -15,9 +15,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": data_queries.p2_found,
         "p3_found": data_queries.p3_found,
         "p5_found": data_queries.p5_found,
+        "p1_values": data_queries.p1_values,
+        "p3_tables": data_queries.p3_tables,
+        "p3_columns": data_queries.p3_columns,
+        "p5_history": data_queries.p5_history,
     }
     return found | lineage_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return data_oracles.ORACLES | lineage_queries.ORACLES | {"p3_found": lineage_queries.P3_FOUND}
+    return data_oracles.ORACLES | lineage_queries.ORACLES | {
+        "p3_found": lineage_queries.P3_FOUND,
+        "p3_tables": lineage_queries.P3_TABLES,
+        "p3_columns": lineage_queries.P3_COLUMNS,
+    }
