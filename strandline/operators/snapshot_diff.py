@@ -1,43 +1,35 @@
 """What changed between consecutive full snapshots.
 
-Method: a bucketed key-to-hash index of the last snapshot is kept; the rows of a new snapshot probe
-it by key, stored values are fetched for the keys that differ only, and the index is then swapped
-for the new one.  Several consecutive snapshots may come in one batch: each is then probed against
-the index of its predecessor in the same pass.
-
-Scale: rows are shuffled once, by the digest of their key, into the buckets of the index; the probe
-and the fetch join tables of equal bucketing and move nothing.  Digests spread evenly, so neither a
-source nor a table that holds a third of all rows makes a hot bucket.
+Method: a bucketed key-to-hash index of the last snapshot of every source is kept.  The rows of a new
+batch probe it bucket by bucket; only for keys that differ are values fetched, from the rows at rest;
+then the batch's own key-to-hash rows take the place of the old ones of its sources.
+
+A batch may hold several consecutive snapshots of one source: its rows are pivoted into one row per
+key with the hash in each of them, so every snapshot is compared with its predecessor in the same pass.
+
+Scale: hashes are taken before anything moves; what is shuffled is one slim row per key, combined on
+the map side, into the buckets of the index, which isn't moved.  Only the index rows of the batch's
+sources are written again.  Digests spread evenly, so neither a source nor a table that holds a third
+of all rows makes a hot bucket.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.text import digest
-from strandline.plans.ordered import with_neighbours
-from strandline.workspace import materialise
-
-_KEY, _HASH = "_key", "_hash"
+from strandline.functions.text import digest, hashed
+from strandline.plans.ordered import with_rank
+from strandline.plans.versions import Versions
+from strandline.workspace import materialise, scratch_path
 
-
-@contextmanager
-def _buckets_suffice(spark: SparkSession) -> Iterator[None]:
-    """Let joins on (key, snapshot) use the buckets of the key; else Spark shuffles by both."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+_KEY = ["_k1", "_k2"]
+WIDTH = 16  #: snapshots of one source in one pass; more take more passes
+FETCH_BY_BROADCAST = 500_000  #: up to so many differing keys are sent to the rows at rest; more are joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -52,112 +44,155 @@ class SnapshotSpec:
 
 
 def order_snapshots(imports: DataFrame, snapshot: str, source: str, at: str) -> DataFrame:
-    """One row per snapshot with ``prev_`` and ``next_`` snapshot of the same source by ``at``, then id.
+    """``<snapshot>, _src, rank``: the place of every snapshot among those of its source by ``at``, then id.
 
     Whole-row repeats count once.  A null time sorts first; a null source is a source of its own.
     """
-    slim = imports.select(snapshot, source, at).dropDuplicates()
-    return with_neighbours(slim, source, [at, snapshot], snapshot, "snapshots")
+    slim = imports.select(snapshot, hashed(F.col(source).cast("string")).alias("_src"), at).dropDuplicates()
+    return materialise(with_rank(slim, "_src", [at, snapshot], "snapshots").select(snapshot, "_src", "rank"), "snapshots")
 
 
 class SnapshotIndex:
-    """The index on disk: versioned bucketed tables and a pointer to the current one.
+    """The index under ``root``: key-to-hash rows in one bucketed table, a partition per pass.
 
-    ``root`` is a folder that all executors reach.  A batch writes a new version beside the old one
-    and renames the pointer last, so a run that dies leaves the old index in force.
+    The state in force names the partition that holds the last snapshot of each source; rows of other
+    partitions are dead and dropped once no source needs them.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.versions = spark, root.rstrip("/"), Versions(spark, root)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    _SOURCES = "_src long, done long, last long, gen string"
 
-    def _pointer(self) -> dict | None:
-        where, fs = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(where):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+    def _sources(self, state: dict) -> DataFrame:
+        """How many snapshots of each source are indexed, the last of them, and where it lies."""
+        if not state["sources"]:
+            return self.spark.createDataFrame([], self._SOURCES)
+        return self.spark.read.schema(self._SOURCES).parquet(f"{self.root}/sources/{state['sources']}")
 
-    def _attach(self, path: str, df: DataFrame | None, schema: str | None = None, buckets: int | None = None) -> DataFrame:
-        """A bucketed table at ``path``: written from ``df`` or, where that is None, found there."""
-        table = f"strandline_index_{uuid.uuid4().hex}"
-        if df is not None:
-            (df.repartition(self.buckets, _KEY).write.format("parquet").bucketBy(self.buckets, _KEY).sortBy(_KEY)
-             .option("path", path).saveAsTable(table))
-        else:
-            self.spark.sql(
-                f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({_KEY}) SORTED BY ({_KEY}) "
-                f"INTO {buckets} BUCKETS LOCATION '{path}'"
-            )
-        return self.spark.table(table)
-
-    def last(self) -> DataFrame | None:
-        """The rows of the last snapshot of every source, bucketed by key; None before the first batch."""
-        at = self._pointer()
-        return at and self._attach(at["path"], None, at["schema"], at["buckets"])
-
-    def apply(self, rows: DataFrame, order: DataFrame, spec: SnapshotSpec) -> DataFrame:
-        """Changes of this batch, one row per key that differs between a snapshot and its predecessor.
-
-        ``rows`` holds the new snapshots; ``order`` comes from :func:`order_snapshots` over all
-        snapshots known so far, those of a source arriving in order.  Result: the snapshot, the key columns, ``change_type`` and the
-        structs ``old`` and ``new`` (null where there is none).  A source's first snapshot yields
-        nothing; a snapshot without rows removes all keys.  Rows of unknown snapshots don't count.  Changes
-        are written before the index is swapped.
+    def _attach(self, table: str, state: dict) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {table} (_k1 long, _k2 long, _src long, _hash long, _diffs array<struct<r:int,kind:string>>, gen string) USING parquet "
+            f"PARTITIONED BY (gen) CLUSTERED BY (_k1, _k2) INTO {state['buckets']} BUCKETS LOCATION '{self.root}/index'"
+        )
+        if state["gens"]:
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+
+    def apply(self, rows: DataFrame, order: DataFrame, spec: SnapshotSpec, archive: DataFrame | None = None, slices: int = 1, values: bool = True) -> DataFrame:
+        """Changes of the snapshots not yet indexed, one row per key that differs from the predecessor.
+
+        ``rows`` holds the rows of the new snapshots; ``archive`` all rows at rest, from which those of
+        differing keys are fetched (default: ``rows``).  ``order`` comes from :func:`order_snapshots` over all
+        snapshots so far.  ``slices`` is the least number of passes; each probes what the one before left.
+
+        Result: the snapshot, the key columns, ``change_type`` and, with ``values``, the structs ``old`` and
+        ``new`` (null where there is none).  A source's first snapshot yields nothing; a snapshot without
+        rows removes all keys; rows of unknown and of indexed snapshots don't count, so a batch told twice
+        is told once.  A snapshot that sorts before an indexed one raises ValueError.  Changes are written
+        before the state is turned: a run that dies is simply repeated.
         """
+        state = self.versions.load()
+        if state is None:
+            state = {"buckets": self.buckets, "gens": [], "sources": ""}
+            self.versions.store(state)
+        sources = self._sources(state)
+        known = order.join(sources, "_src", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        late = (F.col("rank") == F.col("done") - 1) & (F.col(spec.snapshot) != F.col("last"))
+        newest, out_of_order = known.agg(F.max(F.col("rank") - F.col("done")), F.max(late)).first()
+        if out_of_order:
+            raise ValueError("a snapshot sorts before one that is indexed")
+        fresh = known.withColumn("new", F.col("rank") - F.col("done")).where("new >= 0")
+        most = max(0 if newest is None else newest, 0) + 1
+        passes = max(1, min(slices, most), -(-most // WIDTH))
+        width = -(-most // passes)
+        fresh = fresh.withColumns({"_pass": F.floor(F.col("new") / width).cast("int"), "_r": (F.col("new") % width).cast("int")})
+        sizes = fresh.groupBy("_src", "_pass").agg(F.count("*").alias("_n"), F.max(F.col("rank")).alias("top"), F.max_by(spec.snapshot, "rank").alias("last_of_pass"), F.max("done").alias("done"))
+        sizes = sizes.withColumn("_prior", (F.col("done") > 0) | (F.col("_pass") > 0))
+        line = materialise(fresh.select(spec.snapshot, "_src", "_pass", "_r").join(sizes, ["_src", "_pass"]), "line")
+        staged = scratch_path(self.spark, "staged")
+        slim = rows.join(line.select(spec.snapshot, "_src", "_pass", "_r", "_n", "_prior"), spec.snapshot)
+        slim = slim.select(*self._digest(spec), self._hash(spec, rows), "_src", "_pass", "_r", "_n", "_prior", F.struct(*spec.version).alias("_ver"))
+        slim.write.partitionBy("_pass").parquet(staged)
+        table = f"strandline_index_{uuid.uuid4().hex}"
+        self._attach(table, state)
+        try:
+            new_gens = [uuid.uuid4().hex[:16] for _ in range(passes)]
+            for k, gen in enumerate(new_gens):
+                touched = line.where(F.col("_pass") == k).select("_src", "_n", "_prior").dropDuplicates()
+                batch = self.spark.read.schema(slim.schema).parquet(staged).where(F.col("_pass") == k)
+                self._probe(table, state["buckets"], batch, touched, self._moved(sources, line, new_gens[:k]), width, state["gens"] + new_gens[:k], gen)
+            told = self.spark.table(table).where(F.col("gen").isin(new_gens) & (F.size("_diffs") > 0)).select(*_KEY, "_src", "gen", F.explode("_diffs").alias("d"))
+            told = told.join(line.select("_src", self._gen_of(new_gens).alias("gen"), "_n", "top").dropDuplicates(), ["_src", "gen"])
+            told = told.select(*_KEY, "_src", (F.col("top") - F.col("_n") + 1 + F.col("d.r")).alias("rank"), F.col("d.kind").alias("change_type"))
+            differences = materialise(told, "differences")
+            changes = materialise(self._fetch(differences, order, rows if archive is None else archive, spec, values), "changes")
+            where = f"s-{uuid.uuid4().hex[:12]}"
+            self._moved(sources, line, new_gens).coalesce(1).write.parquet(f"{self.root}/sources/{where}")
+            state = {**state, "sources": where}
+            live = [r[0] for r in self._sources(state).select("gen").distinct().collect()]  # at most one per pass since the oldest live one
+            self.versions.store({**state, "gens": live})
+            self.versions.sweep("index", [f"gen={g}" for g in live])
+            self.versions.sweep("sources", [where])
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        return changes
+
+    @staticmethod
+    def _gen_of(gens: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, gens)), F.col("_pass") + 1)
+
+    def _moved(self, sources: DataFrame, line: DataFrame, gens: list[str]) -> DataFrame:
+        """Where each source's last snapshot lies after the passes that wrote ``gens``."""
+        if not gens:
+            return sources
+        newest = line.where(F.col("_pass") < len(gens)).groupBy("_src").agg(F.max_by(F.struct((F.col("top") + 1).alias("done"), F.col("last_of_pass").alias("last"), self._gen_of(gens).alias("gen")), "_pass").alias("s"))
+        return sources.join(newest, "_src", "left_anti").unionByName(newest.select("_src", "s.*"))
+
+    @staticmethod
+    def _digest(spec: SnapshotSpec) -> list[Column]:
+        return [c.alias(n) for n, c in zip(_KEY, digest(F.col("_src"), *[F.col(k).cast("string") for k in spec.key]))]
+
+    @staticmethod
+    def _hash(spec: SnapshotSpec, rows: DataFrame) -> Column:
+        """``_hash`` where the caller took it already, before joining; else over the compared forms."""
+        return F.col("_hash") if "_hash" in rows.columns else hashed(*spec.compared.values()).alias("_hash")
+
+    def _probe(self, table: str, buckets: int, batch: DataFrame, touched: DataFrame, sources: DataFrame, width: int, gens: list[str], gen: str) -> None:
+        """Join the batch with the index rows of its sources and write what takes their place, with the differences."""
+        at = [F.max_by("_hash", F.when(F.col("_r") == r, F.col("_ver"))).alias(f"_h{r}") for r in range(width)]
+        wide = batch.groupBy(*_KEY).agg(*at, F.min("_src").alias("_src"), F.min("_n").alias("_n"), F.max("_prior").alias("_prior"))
+        mine = touched.select("_src", "_n", "_prior").join(sources.select("_src", "gen"), "_src")
+        old = self.spark.table(table).where(F.col("gen").isin(gens or [""]) & F.col("_hash").isNotNull()).join(mine, ["_src", "gen"])
+        old = old.select(*_KEY, F.col("_hash").alias("_old"), F.col("_src").alias("_os"), F.col("_n").alias("_on"))
+        both = wide.join(old, _KEY, "full") if gens else wide.withColumns({c: F.lit(None).cast("long") for c in ("_old", "_os", "_on")})
+        both = both.withColumns({"_n": F.coalesce("_n", "_on"), "_src": F.coalesce("_src", "_os"), "_prior": F.coalesce("_prior", F.lit(True))})
+        both = both.withColumn("_s", F.array("_old", *[F.col(f"_h{r}") for r in range(width)]))
+        told = []
+        for r in range(width):
+            before, now = F.col("_s")[r], F.col("_s")[r + 1]
+            counts = (F.col("_n") > r) & (F.lit(r > 0) | F.col("_prior")) & ~before.eqNullSafe(now)
+            kind = F.when(before.isNull(), "added").when(now.isNull(), "removed").otherwise("changed")
+            told.append(F.when(counts, F.struct(F.lit(r).alias("r"), kind.alias("kind"))))
+        diffs = F.filter(F.array(*told), lambda x: x.isNotNull()).alias("_diffs")
+        out = both.select(*_KEY, "_src", F.get("_s", F.col("_n").cast("int")).alias("_hash"), diffs, F.lit(gen).alias("gen"))
+        (out.write.format("parquet").partitionBy("gen").bucketBy(buckets, *_KEY).mode("append").option("path", f"{self.root}/index").saveAsTable(table))
+
+    def _fetch(self, differences: DataFrame, order: DataFrame, archive: DataFrame, spec: SnapshotSpec, values: bool) -> DataFrame:
+        """Key columns and values of the differing keys, from the rows at rest."""
         s = spec.snapshot
-        values = list(spec.compared)
-        latest = rows.groupBy(s, *spec.key).agg(F.max_by(F.struct(*values), F.struct(*spec.version)).alias("_v"))
-        latest = latest.select(s, *spec.key, *[F.col("_v")[v].alias(v) for v in values])
-        known = order.select(s, spec.source, F.col(f"prev_{s}").alias("_before"), F.col(f"next_{s}").alias("_after"))
-        fresh = latest.join(known, s).select(
-            digest(F.col(spec.source).cast("string"), *[F.col(k).cast("string") for k in spec.key]).alias(_KEY),
-            digest(*[c.cast("string") for c in spec.compared.values()]).alias(_HASH),
-            s, "_before", "_after", *spec.key, *values,
-        )
-        before = self.last()
-        if before is not None:
-            carried = before.drop("_before", "_after").join(known.drop(spec.source), s).select(*fresh.columns)
-            fresh = carried.unionByName(fresh)
-        index = self._attach(f"{self.root}/v-{uuid.uuid4().hex[:12]}", fresh)
-        new = index.where(F.col("_before").isNotNull()).select(_KEY, F.col("_before").alias("_old_at"), F.col(s).alias("_new_at"), F.col(_HASH).alias("_new_hash"))
-        old = index.where(F.col("_after").isNotNull()).select(_KEY, F.col(s).alias("_old_at"), F.col("_after").alias("_next_at"), F.col(_HASH).alias("_old_hash"))
-        differ = new.join(old, [_KEY, "_old_at"], "full").where(~F.col("_new_hash").eqNullSafe(F.col("_old_hash")))
-        differ = differ.select(
-            _KEY, "_old_at", F.coalesce("_new_at", "_next_at").alias("_at"),
-            F.col("_new_hash").isNull().alias("_gone"), F.col("_old_hash").isNull().alias("_fresh"),
-        )
-        if before is not None:  # changes between snapshots of earlier batches were told then
-            told = before.select(F.col(s).alias("_at")).distinct()
-            differ = differ.join(told, "_at", "left_anti").select(*differ.columns)
-        whole = index.select(_KEY, F.col(s).alias("_s"), F.struct(*spec.key).alias("_k"), F.struct(*values).alias("_v"))
-        got = (
-            differ.alias("d")
-            .join(whole.alias("o"), (F.col("d._key") == F.col("o._key")) & (F.col("d._old_at") == F.col("o._s")), "left")
-            .join(whole.alias("n"), (F.col("d._key") == F.col("n._key")) & (F.col("d._at") == F.col("n._s")), "left")
-        )
-        kind = F.when(F.col("d._gone"), "removed").when(F.col("d._fresh"), "added").otherwise("changed")
-        key = F.coalesce("n._k", "o._k")
-        changes = got.select(F.col("d._at").alias(s), *[key[k].alias(k) for k in spec.key], kind.alias("change_type"), F.col("o._v").alias("old"), F.col("n._v").alias("new"))
-        with _buckets_suffice(self.spark):
-            told = materialise(changes, "changes")
-        self._swap(index, spec)
-        return told
-
-    def _swap(self, stored: DataFrame, spec: SnapshotSpec) -> None:
-        """Write the last snapshot of every source as the new index, then turn the pointer."""
-        path = f"{self.root}/last-{uuid.uuid4().hex[:12]}"
-        self._attach(path, stored.where(F.col("_after").isNull()))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-        text = json.dumps({"path": path, "buckets": self.buckets, "schema": schema})
-        where, fs = self._fs(f"{self.root}/CURRENT.new")
-        out = fs.create(where, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        current, _ = self._fs(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(where, current)
+        place = order.select("_src", "rank", s)
+        asked = differences.join(place, ["_src", "rank"]).withColumnRenamed(s, "_at")
+        asked = asked.join(place.select("_src", (F.col("rank") + 1).alias("rank"), F.col(s).alias("_before")), ["_src", "rank"])
+        new = asked.where("change_type <> 'removed'").select(*_KEY, "_src", "_at", "change_type", F.col("_at").alias(s), F.lit(True).alias("_is_new"))
+        old = asked.where(F.lit(values) | (F.col("change_type") == "removed")).where("change_type <> 'added'").select(*_KEY, "_src", "_at", "change_type", F.col("_before").alias(s), F.lit(False).alias("_is_new"))
+        wanted = new.unionByName(old)
+        if differences.count() <= FETCH_BY_BROADCAST:
+            wanted = F.broadcast(wanted)
+        kept = [c for c in dict.fromkeys([s, *spec.key, *(spec.compared if values else ()), *spec.version])]
+        rows = archive.select(*kept).join(order.select(s, "_src"), s).withColumns(dict(zip(_KEY, digest(F.col("_src"), *[F.col(k).cast("string") for k in spec.key]))))
+        got = rows.join(wanted, [*_KEY, "_src", s])
+        side = lambda new: F.max_by(F.struct(*spec.compared), F.when(F.col("_is_new") == new, F.struct(*spec.version)))
+        told = [side(False).alias("old"), side(True).alias("new")] if values else []
+        one = got.groupBy(*_KEY, "_at").agg(F.first(F.struct(*spec.key)).alias("_k"), F.first("change_type").alias("change_type"), *told)
+        return one.select(F.col("_at").alias(s), *[F.col("_k")[k].alias(k) for k in spec.key], "change_type", *(["old", "new"] if values else []))

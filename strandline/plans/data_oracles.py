@@ -4,7 +4,7 @@ BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205
 _TYPE = f"lower(regexp_replace(data_type, '{BLANK}+', '', 'g'))"
 _COMMENT = f"coalesce(regexp_replace(comment, '^{BLANK}+|{BLANK}+$', '', 'g'), '')"
 
-P1_FOUND = f"""
+_SNAPS = f"""
 WITH imports AS (
   SELECT id AS import_id, source_name,
          lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id
@@ -13,7 +13,7 @@ WITH imports AS (
 ), tables AS (
   SELECT DISTINCT id AS table_id, catalog, schema_name, table_name, import_id FROM table_metadata
 ), ranked AS (
-  SELECT t.import_id, t.catalog, t.schema_name, t.table_name, c.name AS column_name,
+  SELECT t.import_id, t.catalog, t.schema_name, t.table_name, c.name AS column_name, c.data_type AS told_type, c.comment AS told_comment,
          {_TYPE.replace('data_type', 'c.data_type')} AS data_type, {_COMMENT.replace('comment', 'c.comment')} AS comment,
          c.ordinal, c.is_partition, c.nullable,
          row_number() OVER (PARTITION BY t.import_id, t.catalog, t.schema_name, t.table_name, c.name
@@ -25,6 +25,7 @@ WITH imports AS (
   SELECT coalesce(n.import_id, o.next_id) AS import_id,
          coalesce(n.catalog, o.catalog) AS catalog, coalesce(n.schema_name, o.schema_name) AS schema_name,
          coalesce(n.table_name, o.table_name) AS table_name, coalesce(n.column_name, o.column_name) AS column_name,
+         o.told_type AS old_data_type, o.told_comment AS old_comment, n.told_type AS new_data_type, n.told_comment AS new_comment,
          CASE WHEN o.import_id IS NULL THEN 'added' WHEN n.import_id IS NULL THEN 'removed'
               WHEN n.data_type IS DISTINCT FROM o.data_type OR n.comment IS DISTINCT FROM o.comment
                 OR n.ordinal IS DISTINCT FROM o.ordinal OR n.is_partition IS DISTINCT FROM o.is_partition
@@ -35,10 +36,12 @@ WITH imports AS (
    AND n.schema_name IS NOT DISTINCT FROM o.schema_name AND n.table_name IS NOT DISTINCT FROM o.table_name
    AND n.column_name IS NOT DISTINCT FROM o.column_name
 )
-SELECT * FROM pairs WHERE change_type IS NOT NULL
 """
+P1_FOUND = _SNAPS + "SELECT import_id, catalog, schema_name, table_name, column_name, change_type FROM pairs WHERE change_type IS NOT NULL"
+P1_VALUES = _SNAPS + """SELECT import_id, catalog, schema_name, table_name, column_name, old_data_type, old_comment, new_data_type, new_comment
+FROM pairs WHERE change_type = 'changed'"""
 
-P2_FOUND = """
+_FOREST = """
 WITH RECURSIVE edges AS (
   SELECT DISTINCT sql_id, source, target FROM structure_edges
   WHERE source IS NOT NULL AND target IS NOT NULL
@@ -51,7 +54,9 @@ WITH RECURSIVE edges AS (
   UNION ALL
   SELECT e.sql_id, e.target, list_append(p.trail, e.target)
   FROM placed p JOIN edges e ON e.sql_id = p.sql_id AND e.source = p.node
-), rest AS (
+)"""
+P2_DESCENDANTS = _FOREST + " SELECT sql_id, unnest(trail[:-2]) AS node, node AS below FROM placed"
+P2_FOUND = _FOREST + """, rest AS (
   SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.sql_id = n.sql_id AND p.node = n.node)
 ), hung AS (
   SELECT e.* FROM edges e JOIN rest a ON a.sql_id = e.sql_id AND a.node = e.source
@@ -98,4 +103,4 @@ P5_HISTORY = _PERIODS + """
 SELECT column_id, state.t AS data_type, state.c AS comment, changed_at AS valid_from, until AS valid_to FROM periods WHERE state IS NOT NULL
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_history": P5_HISTORY}
+ORACLES = {"p1_found": P1_FOUND, "p1_values": P1_VALUES, "p2_descendants": P2_DESCENDANTS, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_history": P5_HISTORY}

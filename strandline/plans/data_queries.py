@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.text import canonical_comment, canonical_type, epoch_seconds
+from strandline.functions.text import canonical_comment, canonical_type, epoch_seconds, hashed
 from strandline.operators.attribute_history import attribute_history
-from strandline.operators.hierarchy import hierarchies
+from strandline.operators.hierarchy import descendants, hierarchies
 from strandline.operators.snapshot_diff import SnapshotIndex, SnapshotSpec, order_snapshots
 from strandline.sources.nested_json import flatten_payloads, named_columns
 from strandline.workspace import read_table, scratch_path
 
+DELIVERIES = 2  #: the snapshots of each source are fed to the index in so many passes
 COLUMN_KEY = ("catalog", "schema_name", "table_name", "column_name")
 
 
@@ -32,22 +33,26 @@ def catalog_spec() -> SnapshotSpec:
     )
 
 
-def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column rows with their table's key and import; rows without a table are left out."""
+def snapshot_rows(spark: SparkSession, sf_dir: str, values: bool) -> DataFrame:
+    """Column rows with their table's key and import; rows without a table are left out.
+
+    With ``values`` the compared columns come along, else only their hash, taken before the join.
+    """
     tables = read_table(spark, sf_dir, "table_metadata").select(F.col("id").alias("table_id"), "catalog", "schema_name", "table_name", "import_id").dropDuplicates()
-    columns = read_table(spark, sf_dir, "column_metadata").select("id", "table_id", F.col("name").alias("column_name"), "data_type", "comment", "ordinal", "is_partition", "nullable", "loaded_at")
+    held = ("data_type", "comment", "ordinal", "is_partition", "nullable") if values else (hashed(*catalog_spec().compared.values()).alias("_hash"),)
+    columns = read_table(spark, sf_dir, "column_metadata").select("id", "table_id", F.col("name").alias("column_name"), *held, "loaded_at")
     return columns.join(tables, "table_id")
 
 
-def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_changes(spark: SparkSession, sf_dir: str, values: bool) -> DataFrame:
     imports = read_table(spark, sf_dir, "metadata_imports").withColumnRenamed("id", "import_id")
     order = order_snapshots(imports, "import_id", "source_name", "imported_at")
     index = SnapshotIndex(spark, scratch_path(spark, "catalog-index"))
-    return index.apply(snapshot_rows(spark, sf_dir), order, catalog_spec())
+    return index.apply(snapshot_rows(spark, sf_dir, False), order, catalog_spec(), archive=snapshot_rows(spark, sf_dir, values), slices=DELIVERIES, values=values)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_changes(spark, sf_dir).select("import_id", *COLUMN_KEY, "change_type")
+    return catalog_changes(spark, sf_dir, False).select("import_id", *COLUMN_KEY, "change_type")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +61,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("tree").alias("sql_id"), "node", "state", "root", "depth", "path", "n_descendants")
 
 
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of each tree with each node below it."""
+    edges = read_table(spark, sf_dir, "structure_edges").select("sql_id", "source", "target")
+    return descendants(edges, "sql_id", "source", "target").select(F.col("tree").alias("sql_id"), "node", "below")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_columns(flatten_payloads(read_table(spark, sf_dir, "metadata_payloads")))
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type and comment before and after every changed column."""
-    changed = catalog_changes(spark, sf_dir).where("change_type = 'changed'")
+    changed = catalog_changes(spark, sf_dir, True).where("change_type = 'changed'")
     return changed.select("import_id", *COLUMN_KEY, *[F.col(side)[c].alias(f"{side}_{c}") for side in ("old", "new") for c in ("data_type", "comment")])
 
 

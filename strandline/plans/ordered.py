@@ -1,4 +1,4 @@
-"""Neighbouring rows of one group in a given order, without putting a group into one task."""
+"""Places of rows in the order of their group, without putting a group into one task."""
 
 from __future__ import annotations
 
@@ -9,37 +9,30 @@ from pyspark.sql import functions as F
 
 from strandline.workspace import materialise
 
+ROWS_PER_SLICE = 250_000
 
-def range_slices(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+
+def range_slices(df: DataFrame, group: str, order: Sequence[str], name: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Cut rows into ordered slices, written once; ``_slice`` numbers them.
 
-    Slices follow (group, order), so a group that holds a third of all rows spans many slices.
-    The table is written because two evaluations of a range exchange may draw unequal bounds.
+    Slices follow (group, order), so a group that holds a third of all rows spans many slices, and
+    their number follows from the number of rows, so a slice doesn't grow with the data.  Rows are
+    written first because drawing the bounds reads them as well, and again once cut because two
+    evaluations may draw unequal bounds.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, group, *order).withColumn("_slice", F.spark_partition_id())
-    return materialise(ranged, name)
-
+    whole = materialise(df, name)
+    parts = max(1, -(-whole.count() // rows_per_slice))
+    if parts == 1:
+        return whole.withColumn("_slice", F.lit(0))
+    return materialise(whole.repartitionByRange(parts, group, *order).withColumn("_slice", F.spark_partition_id()), name)
 
-def with_neighbours(df: DataFrame, group: str, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add ``prev_<value>`` and ``next_<value>`` within each group by the order columns.
 
-    One window runs per slice; only the first and last row of each slice (as many rows as there
-    are slices) cross slice borders.  ``order`` must tell the rows of a group apart; null groups
-    form one group.
-    """
+def with_rank(df: DataFrame, group: str, order: Sequence[str], name: str, rank: str = "rank") -> DataFrame:
+    """Add the place from 0 of every row within its non-null group by the order columns, which tell rows apart."""
     cut = range_slices(df, group, order, name)
-    keys = [F.col(group), *[F.col(o) for o in order]]
-    inside = Window.partitionBy("_slice").orderBy(*keys)
-    ends = cut.groupBy("_slice").agg(
-        F.min_by(F.struct(group, value), F.struct(*keys)).alias("head"),
-        F.max_by(F.struct(group, value), F.struct(*keys)).alias("tail"),
-    )
-    across = Window.partitionBy(F.lit(0)).orderBy("_slice")  # one row per slice
-    ends = ends.select("_slice", F.lag("tail").over(across).alias("_before"), F.lead("head").over(across).alias("_after"))
-    here = F.struct(group, value)
-    cut = cut.withColumns({"_prev": F.lag(here).over(inside), "_next": F.lead(here).over(inside)})
-    cut = cut.join(F.broadcast(ends), "_slice", "left")
-    near = {"prev": F.coalesce("_prev", "_before"), "next": F.coalesce("_next", "_after")}
-    out = {f"{k}_{value}": F.when(c[group].eqNullSafe(F.col(group)), c[value]) for k, c in near.items()}
-    return cut.withColumns(out).drop("_slice", "_prev", "_next", "_before", "_after")
+    inside = Window.partitionBy("_slice", group).orderBy(*order)
+    sizes = cut.groupBy("_slice", group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # rows: slices of one group
+    sizes = sizes.select("_slice", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = cut.withColumn(rank, (F.row_number().over(inside) - 1).cast("long")).join(sizes, ["_slice", group])
+    return placed.withColumn(rank, F.col(rank) + F.col("_base")).drop("_slice", "_base")

@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "p1_found": data_queries.p1_found,
         "p2_found": data_queries.p2_found,
+        "p2_descendants": data_queries.p2_descendants,
         "p3_found": data_queries.p3_found,
         "p5_found": data_queries.p5_found,
         "p1_values": data_queries.p1_values,

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from strandline.operators.hierarchy import hierarchies
+from strandline.operators.hierarchy import descendants, hierarchies
 
 EDGES = "t long, p string, c string, extra string"
 
@@ -23,7 +23,12 @@ def plain(rows):
                 moved = True
     for t, n in nodes:
         if (t, n) in path:
-            below = sum(1 for (u, m), way in path.items() if u == t and n in way[:-1])
+            seen, todo = set(), [n]
+            while todo:
+                new = {c for u, p, c in edges if u == t and p == todo[-1] and (t, c) in path} - seen
+                todo = [*new, *todo[:-1]]
+                seen |= new
+            below = len(seen)
             out[t, n] = ("tree", path[t, n][0], len(path[t, n]) - 1, " > ".join(path[t, n]), below)
         else:
             seen, todo = set(), [n]
@@ -68,5 +73,29 @@ def test_several_parents(spark):
     assert found(spark, rows) == plain(rows)
 
 
+def test_diamond_counts_every_ancestor(spark):
+    """Both sides of a diamond have the two nodes below it."""
+    rows = [(1, a, b, None) for a, b in ("ra", "rb", "ac", "bc", "cd")] + [(2, "x", "y", None)]
+    assert found(spark, rows) == plain(rows)
+    got = descendants(spark.createDataFrame(rows, EDGES), "t", "p", "c").collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, a, b) for a, bs in {"r": "abcd", "a": "cd", "b": "cd", "c": "d"}.items() for b in bs] + [(2, "x", "y")])
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_tangles(spark, seed):
+    """Several loops that feed each other, bridges between them, self-loops, several parents."""
+    draw = random.Random(seed)
+    rows = [(t, f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", None) for t in (1, 2, 3) for _ in range(17)]
+    assert found(spark, rows) == plain(rows)
+
+
+def test_a_parent_with_very_many_children(spark, monkeypatch):
+    """Children of a hot parent are spread over salts."""
+    monkeypatch.setattr("strandline.operators.hierarchy.FAN", 5)
+    rows = [(1, "r", "hot", None)] + [(1, "hot", f"c{k:02}", None) for k in range(40)] + [(1, f"c{k:02}", f"d{k:02}", None) for k in range(0, 40, 3)]
+    rows += [(1, "d00", f"e{k}", None) for k in range(12)] + [(2, "hot", "c00", None)]
+    assert found(spark, rows) == plain(rows)
+
+
 def test_empty(spark):
     assert found(spark, []) == {}

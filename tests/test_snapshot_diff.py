@@ -1,12 +1,14 @@
 """Snapshot differences against plain Python over random histories, in one batch and in two."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators.snapshot_diff import SnapshotIndex, SnapshotSpec, order_snapshots
+from strandline.plans.versions import Versions
 from strandline.workspace import scratch_path
 
 ROWS = "import_id long, k string, v string, n int, loaded_at int, id long"
@@ -50,23 +52,24 @@ def expected(imports, rows):
     return out
 
 
-def run(spark, batches, imports):
+def run(spark, batches, imports, slices=1):
     index, found = SnapshotIndex(spark, scratch_path(spark, "index")), set()
-    known = []
+    known, everything = [], []
     for ids, rows in batches:
         known += [i for i in imports if i[0] in ids]
+        everything += rows
         order = order_snapshots(spark.createDataFrame(known, IMPORTS), "import_id", "source", "at")
-        changes = index.apply(spark.createDataFrame(rows, ROWS), order, spec())
+        changes = index.apply(spark.createDataFrame(rows, ROWS), order, spec(), spark.createDataFrame(everything, ROWS), slices)
         got = [(r["import_id"], r["k"], r["change_type"]) for r in changes.collect()]
         assert len(got) == len(set(got))
         found |= set(got)
     return found
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_plain_python(spark, seed):
+@pytest.mark.parametrize(("seed", "slices"), [(1, 1), (2, 3)])
+def test_matches_plain_python(spark, seed, slices):
     imports, rows = history(seed)
-    assert run(spark, [({i[0] for i in imports}, rows)], imports) == expected(imports, rows)
+    assert run(spark, [({i[0] for i in imports}, rows)], imports, slices) == expected(imports, rows)
 
 
 def test_two_batches_equal_one(spark):
@@ -90,3 +93,72 @@ def test_values_of_changes(spark):
     rows = spark.createDataFrame([(1, "a", "x", 1, 1, 1), (2, "a", "y", 1, 1, 2), (2, "b", "z", 1, 1, 3)], ROWS)
     got = SnapshotIndex(spark, scratch_path(spark, "index")).apply(rows, order, spec()).orderBy("k").collect()
     assert [(r["old"] and r["old"]["v"], r["new"]["v"]) for r in got] == [("x", "y"), (None, "z")]
+
+
+def two_snapshots(spark):
+    imports = [(1, "s", dt.datetime(2025, 1, 1)), (2, "s", dt.datetime(2025, 1, 2)), (3, "t", dt.datetime(2025, 1, 2))]
+    order = lambda n: order_snapshots(spark.createDataFrame([i for i in imports if i[0] in n], IMPORTS), "import_id", "source", "at")
+    rows = lambda *r: spark.createDataFrame([(s, k, v, 1, 1, n) for n, (s, k, v) in enumerate(r)], ROWS)
+    return order, rows
+
+
+def kinds(changes):
+    return sorted((r["import_id"], r["k"], r["change_type"]) for r in changes.collect())
+
+
+def test_untouched_sources_stay_and_nothing_piles_up(spark):
+    """A later batch rewrites its own sources only; dead folders and tables go."""
+    order, rows = two_snapshots(spark)
+    root = scratch_path(spark, "index")
+    tables = len(spark.catalog.listTables())
+    assert kinds(SnapshotIndex(spark, root).apply(rows((1, "a", "x"), (3, "b", "x")), order({1, 3}), spec())) == []
+    parts = lambda: {n for n in os.listdir(f"{root}/index") if n.startswith("gen=")}
+    first = parts()
+    new = rows((2, "a", "y"))
+    assert kinds(SnapshotIndex(spark, root).apply(new, order({1, 2, 3}), spec(), rows((1, "a", "x"), (2, "a", "y")))) == [(2, "a", "changed")]
+    second = parts()
+    assert first < second and len(second) == 2  # source t still lies in the first
+    assert kinds(SnapshotIndex(spark, root).apply(new, order({1, 2, 3}), spec())) == []  # told already
+    assert len(spark.catalog.listTables()) == tables and len([n for n in os.listdir(f"{root}/sources") if n.startswith("s-")]) == 1
+
+
+def test_a_batch_that_dies_changes_nothing(spark, monkeypatch):
+    order, rows = two_snapshots(spark)
+    root = scratch_path(spark, "index")
+    SnapshotIndex(spark, root).apply(rows((1, "a", "x")), order({1}), spec())
+    for method in ("_fetch", "_probe"):
+        with monkeypatch.context() as patch:
+            patch.setattr(SnapshotIndex, method, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                SnapshotIndex(spark, root).apply(rows((2, "a", "y")), order({1, 2}), spec())
+    with monkeypatch.context() as patch:
+        patch.setattr(Versions, "store", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            SnapshotIndex(spark, root).apply(rows((2, "a", "y")), order({1, 2}), spec())
+    assert kinds(SnapshotIndex(spark, root).apply(rows((2, "a", "y")), order({1, 2}), spec(), rows((1, "a", "x"), (2, "a", "y")))) == [(2, "a", "changed")]
+
+
+def test_late_snapshots_and_lost_states_are_refused(spark):
+    order, rows = two_snapshots(spark)
+    root = scratch_path(spark, "index")
+    SnapshotIndex(spark, root).apply(rows((2, "a", "y")), order({2}), spec())
+    with pytest.raises(ValueError, match="sorts before"):
+        SnapshotIndex(spark, root).apply(rows((1, "a", "x")), order({1, 2}), spec())
+    for name in os.listdir(root):
+        if name.startswith("state-"):
+            os.remove(f"{root}/{name}")
+    with pytest.raises(RuntimeError, match="no complete state"):
+        SnapshotIndex(spark, root).apply(rows((2, "a", "y")), order({2}), spec())
+
+
+def test_a_damaged_state_falls_back(spark):
+    versions = Versions(spark, scratch_path(spark, "states"))
+    for n in range(3):
+        versions.store({"n": n})
+    newest = max(os.listdir(versions.root))
+    with open(f"{versions.root}/{newest}", "w") as out:
+        out.write('{"n": ')
+    for name in os.listdir(versions.root):
+        if name.endswith(".crc"):
+            os.remove(f"{versions.root}/{name}")
+    assert versions.load() == {"n": 1}
