@@ -6,12 +6,17 @@ import names again replaces the earlier one with all its columns, others stay.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.plans.versions import Versions
+from strandline.workspace import materialise
+
 TABLE_KEY = ("catalog", "schema_name", "table_name")
+BODY_KEY = ["payload_id", "body_id"]
 
 
 def latest_tables(tables: DataFrame) -> DataFrame:
@@ -80,11 +85,11 @@ def payload_tables(flat: dict[str, DataFrame]) -> DataFrame:
     Catalog and schema fall back to the payload's default, then ``default``; the name is ``table_name``,
     else ``name``, else ''; comment '' and type ``table``.
     """
-    outer = flat["payload"].select("payload_id", "default_catalog", "default_schema")
-    rows = flat["table"].join(outer, "payload_id")
+    outer = flat["payload"].select(*BODY_KEY, "default_catalog", "default_schema")
+    rows = flat["table"].join(outer, BODY_KEY)
     other = F.lit("default")
     return rows.select(
-        "payload_id", "table_pos", F.coalesce("catalog", "default_catalog", other).alias("catalog"), F.coalesce("schema", "default_schema", other).alias("schema_name"),
+        *BODY_KEY, "table_pos", F.coalesce("catalog", "default_catalog", other).alias("catalog"), F.coalesce("schema", "default_schema", other).alias("schema_name"),
         F.coalesce("table_name", "name", F.lit("")).alias("table_name"), F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce("table_type", F.lit("table")).alias("table_type"),
     )
 
@@ -94,24 +99,24 @@ def payload_columns(flat: dict[str, DataFrame]) -> DataFrame:
     rows = flat["column"].where(F.col("name").isNotNull())
     flag = lambda c, default: F.coalesce(F.lower(c).cast("boolean"), F.lit(default))
     return rows.select(
-        "payload_id", "table_pos", "column_pos", "name", F.coalesce("data_type", F.lit("")).alias("data_type"), F.coalesce("comment", F.lit("")).alias("comment"),
+        *BODY_KEY, "table_pos", "column_pos", "name", F.coalesce("data_type", F.lit("")).alias("data_type"), F.coalesce("comment", F.lit("")).alias("comment"),
         F.expr("try_cast(ordinal AS int)").alias("ordinal"), flag(F.col("is_partition"), False).alias("is_partition"), flag(F.col("nullable"), True).alias("nullable"),
     )
 
 
 def import_changes(tables: DataFrame, columns: DataFrame, change_type: str) -> DataFrame:
-    """One row per table, followed by its columns: ``payload_id, table_pos, column_pos, ...``; -1 is the table."""
+    """One row per table, followed by its columns: ``payload_id, body_id, table_pos, column_pos, ...``; -1 is the table."""
     kind = F.lit(change_type).alias("change_type")
-    own = tables.select("payload_id", "table_pos", F.lit(-1).cast("long").alias("column_pos"), kind, F.lit("table").alias("object_type"), *TABLE_KEY, F.lit(None).cast("string").alias("column_name"))
-    under = columns.join(tables.select("payload_id", "table_pos", *TABLE_KEY), ["payload_id", "table_pos"])
-    under = under.select("payload_id", "table_pos", "column_pos", kind, F.lit("column").alias("object_type"), *TABLE_KEY, F.col("name").alias("column_name"))
+    own = tables.select(*BODY_KEY, "table_pos", F.lit(-1).cast("long").alias("column_pos"), kind, F.lit("table").alias("object_type"), *TABLE_KEY, F.lit(None).cast("string").alias("column_name"))
+    under = columns.join(tables.select(*BODY_KEY, "table_pos", *TABLE_KEY), [*BODY_KEY, "table_pos"])
+    under = under.select(*BODY_KEY, "table_pos", "column_pos", kind, F.lit("column").alias("object_type"), *TABLE_KEY, F.col("name").alias("column_name"))
     return own.unionByName(under)
 
 
 def import_summary(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """``payload_id, table_count, column_count``."""
-    counted = columns.groupBy("payload_id").agg(F.count("*").alias("column_count"))
-    return tables.groupBy("payload_id").agg(F.count("*").alias("table_count")).join(counted, "payload_id", "left").select("payload_id", "table_count", F.coalesce("column_count", F.lit(0)).alias("column_count"))
+    """``payload_id, body_id, table_count, column_count``."""
+    counted = columns.groupBy(*BODY_KEY).agg(F.count("*").alias("column_count"))
+    return tables.groupBy(*BODY_KEY).agg(F.count("*").alias("table_count")).join(counted, BODY_KEY, "left").select(*BODY_KEY, "table_count", F.coalesce("column_count", F.lit(0)).alias("column_count"))
 
 
 def preview(flat: dict[str, DataFrame], version: str) -> ImportOutcome:
@@ -120,15 +125,28 @@ def preview(flat: dict[str, DataFrame], version: str) -> ImportOutcome:
     return ImportOutcome("preview_ready", None, version, import_changes(tables, columns, "added"), [], import_summary(tables, columns))
 
 
+def with_known_versions(changes: DataFrame, payloads: DataFrame, imports: DataFrame) -> DataFrame:
+    """Changes as commits tell them: those of a payload whose version was imported before are ``unchanged``.
+
+    ``payloads`` has payload_id, body_id and metadata_version; a null version is never known.
+    """
+    known = imports.select("metadata_version").dropDuplicates()
+    seen = payloads.join(known, "metadata_version", "left_semi").select(*BODY_KEY, F.lit("unchanged").alias("_seen"))
+    kind = F.coalesce("_seen", "change_type").alias("change_type")
+    return changes.join(seen, BODY_KEY, "left").select(*[kind if c == "change_type" else c for c in changes.columns])
+
+
 def commit(flat: dict[str, DataFrame], version: str, store: CatalogStore, source_name: str | None = None) -> ImportOutcome:
     """Import one payload; a version that exists already is told and left alone."""
     tables, columns = payload_tables(flat), payload_columns(flat)
     summary = import_summary(tables, columns)
+    payload = flat["payload"].withColumn("metadata_version", F.lit(version))
+    changes = materialise(with_known_versions(import_changes(tables, columns, "added"), payload, store.imports()), "import-changes")
     if version_exists(store.imports(), version):
         told = {"code": "METADATA_VERSION_EXISTS", "level": "info", "message": f"Metadata version {version} already exists, skipped import."}
-        return ImportOutcome("committed", None, version, import_changes(tables, columns, "unchanged"), [told], summary)
+        return ImportOutcome("committed", None, version, changes, [told], summary)
     batch = store.append(tables, columns, version, source_name)
-    return ImportOutcome("committed", str(batch), version, import_changes(tables, columns, "added"), [], summary)
+    return ImportOutcome("committed", str(batch), version, changes, [], summary)
 
 
 IMPORTS = "id long, metadata_version string, source_name string, imported_at timestamp, table_count int, column_count int"
@@ -139,39 +157,46 @@ COLUMNS = "id long, table_id long, table_name string, name string, data_type str
 class CatalogStore:
     """Append-only parquet tables under ``root``, for one writer.
 
-    A batch's rows are written first and its import row last; readers only see tables and columns of
-    imports that exist, so an import that dies half-way leaves no trace.
+    Every attempt writes a folder of its own; the state that names it is turned last.  An import that dies
+    half-way is a folder that no state names, whatever id the next one gets, and is dropped then.
     """
 
     def __init__(self, spark, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        for name, schema in (("imports", IMPORTS), ("tables", TABLES), ("columns", COLUMNS)):
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}")
+        self.spark, self.root, self.versions = spark, root.rstrip("/"), Versions(spark, root)
+        if self.versions.load() is None:
+            self.versions.store({"last": 0, "batches": []})
+
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        batches = self.versions.load()["batches"]
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/batches/{b}/{name}" for b in batches]) if batches else self.spark.createDataFrame([], schema)
 
     def imports(self) -> DataFrame:
-        return self.spark.read.schema(IMPORTS).parquet(f"{self.root}/imports")
+        return self._rows("imports", IMPORTS)
 
     def tables(self) -> DataFrame:
-        rows = self.spark.read.schema(TABLES).parquet(f"{self.root}/tables")
-        return rows.join(self.imports().select(F.col("id").alias("import_id")), "import_id", "left_semi")
+        return self._rows("tables", TABLES)
 
     def columns(self) -> DataFrame:
-        rows = self.spark.read.schema(COLUMNS).parquet(f"{self.root}/columns")
-        return rows.join(self.tables().select(F.col("id").alias("table_id")), "table_id", "left_semi")
+        return self._rows("columns", COLUMNS)
 
     def append(self, tables: DataFrame, columns: DataFrame, version: str, source_name: str | None) -> int:
         """Write one batch and return its id: one more than the greatest so far."""
-        batch = (self.imports().agg(F.max("id")).first()[0] or 0) + 1
+        state = self.versions.load()
+        batch, folder = state["last"] + 1, uuid.uuid4().hex[:12]
+        path = f"{self.root}/batches/{folder}"
         # ids: the batch in the upper bits, the place in the payload in the lower ones
-        table_id = (F.lit(batch) * F.lit(1 << 32) + F.col("table_pos")).alias("id")
-        tables.select(table_id, *TABLE_KEY, "comment", "table_type", F.lit(batch).cast("long").alias("import_id")).write.mode("append").parquet(f"{self.root}/tables")
-        named = columns.join(tables.select("payload_id", "table_pos", "table_name"), ["payload_id", "table_pos"])
+        table_id = F.lit(batch) * F.lit(1 << 32) + F.col("table_pos")
         now = F.current_timestamp()
+        tables.select(table_id.alias("id"), *TABLE_KEY, "comment", "table_type", F.lit(batch).cast("long").alias("import_id")).write.parquet(f"{path}/tables")
+        named = columns.join(tables.select(*BODY_KEY, "table_pos", "table_name"), [*BODY_KEY, "table_pos"])
         named.select(
-            F.xxhash64(F.lit(batch), "table_pos", "column_pos").alias("id"), (F.lit(batch) * F.lit(1 << 32) + F.col("table_pos")).alias("table_id"),
+            F.xxhash64(F.lit(batch), "table_pos", "column_pos").alias("id"), table_id.alias("table_id"),
             "table_name", "name", "data_type", "comment", "ordinal", "is_partition", "nullable", (now + F.make_dt_interval(secs=F.col("column_pos") / 1_000_000)).alias("loaded_at"),
-        ).write.mode("append").parquet(f"{self.root}/columns")
+        ).write.parquet(f"{path}/columns")
         counts = [tables.count(), columns.count()]
         row = self.spark.range(1).select(F.lit(batch).cast("long").alias("id"), F.lit(version).alias("metadata_version"), F.lit(source_name).cast("string").alias("source_name"), now.alias("imported_at"), F.lit(counts[0]).alias("table_count"), F.lit(counts[1]).alias("column_count"))
-        row.write.mode("append").parquet(f"{self.root}/imports")
+        row.write.parquet(f"{path}/imports")
+        batches = [*state["batches"], folder]
+        self.versions.store({"last": batch, "batches": batches})
+        self.versions.sweep("batches", batches)
         return batch

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.hierarchy import frontier_paths
 from strandline.workspace import materialise
 
 #: How node and edge types are shown.
@@ -121,35 +122,38 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     placed = materialise(own.where("kind = 'table'").select("sql_id", "id", F.lit(0).alias("level")).unionByName(free), "levels")
     waiting = inner.join(fed, ["sql_id", "id"], "left_semi")
     links = materialise(links.join(waiting.withColumnRenamed("id", "target"), ["sql_id", "target"], "left_semi").select("sql_id", "id", "target"), "links")
-    single = links.groupBy("sql_id", "target").count().where("count > 1").isEmpty()
-    front = placed
-    while True:
-        rounds = []
-        for _ in range(_ROUNDS_PER_JOB if single else 1):
-            step = front.join(links, ["sql_id", "id"]).select("sql_id", F.col("target").alias("id"), (F.col("level") + 1).alias("level"))
-            front = step if single else step.groupBy("sql_id", "id").agg(F.max("level").alias("level"))
-            rounds.append(front.withColumn("_round", F.lit(len(rounds))))
-        block = rounds[0]
-        for more in rounds[1:]:
-            block = block.unionByName(more)
-        block = materialise(block, "levels")
-        last = block.agg(F.max("_round")).first()[0]
-        if last is None:
-            break
-        placed = placed.unionByName(block.drop("_round"))
-        if single and last < _ROUNDS_PER_JOB - 1:
-            break
-        front = block.where(F.col("_round") == last).drop("_round")
-        done = placed.select("sql_id", F.col("id").alias("target"))
-        links = materialise(links.join(done, ["sql_id", "target"], "left_anti").select("sql_id", "id", "target"), "links")
-        if not single:  # a source placed earlier counts for nodes that are reached later
-            front = placed
+    mixed = links.groupBy("sql_id", "target").count().where("count > 1").select("sql_id").dropDuplicates()
+    if mixed.isEmpty():
+        placed = _chained(placed, links)
+    else:
+        mixed = materialise(mixed, "mixed")
+        part = lambda df, how: materialise(df.join(mixed, "sql_id", how), "levels")
+        placed = _chained(part(placed, "left_anti"), part(links, "left_anti")).unionByName(_in_rounds(part(placed, "left_semi"), part(links, "left_semi")))
     rest = own.where("kind <> 'output'").join(placed, ["sql_id", "id"], "left").select("sql_id", "id", F.coalesce("level", F.lit(0)).alias("level"))
     lowest = rest.groupBy("sql_id").agg(F.max("level").alias("low"))
     outputs = own.where("kind = 'output'").join(lowest, "sql_id", "left").select("sql_id", "id", (F.coalesce("low", F.lit(0)) + 1).alias("level"))
     return rest.unionByName(outputs)
 
 
+def _chained(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Levels where every waiting node has one source: one more than that of the source."""
+    base = F.when(F.col("level") == 1, F.array(F.lit(""), "id")).otherwise(F.array("id"))  # a free node begins one level down
+    roots = materialise(placed.select(F.col("sql_id").alias("tree"), F.col("id").alias("node"), base.alias("path")), "roots")
+    found = frontier_paths(roots, links.select(F.col("sql_id").alias("tree"), F.col("id").alias("parent"), F.col("target").alias("child")))
+    return found.select(F.col("tree").alias("sql_id"), F.col("node").alias("id"), (F.size("path") - 1).alias("level"))
+
+
+def _in_rounds(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Levels where nodes have several sources: those placed in the same round see the same placed sources."""
+    while True:
+        step = placed.join(links, ["sql_id", "id"]).groupBy("sql_id", F.col("target").alias("id")).agg((F.max("level") + 1).alias("level"))
+        step = materialise(step, "levels")
+        if step.isEmpty():
+            return placed
+        placed = placed.unionByName(step)
+        links = materialise(links.join(step.select("sql_id", F.col("id").alias("target")), ["sql_id", "target"], "left_anti").select("sql_id", "id", "target"), "links")
+
+
 def layout(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame) -> DataFrame:
     """``sql_id, id, level, x, y``: levels side by side, rows in node order, outputs beside their sources' mean."""
     kind = shown_node_type(F.col("node_type"))

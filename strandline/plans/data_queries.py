@@ -68,7 +68,7 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named_columns(flatten_payloads(read_table(spark, sf_dir, "metadata_payloads")))
+    return named_columns(flatten_payloads(read_table(spark, sf_dir, "metadata_payloads"))).drop("body_id")
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,22 +47,19 @@ def _flat(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)
-    return catalog.import_changes(catalog.payload_tables(flat), catalog.payload_columns(flat), "added")
+    return catalog.import_changes(catalog.payload_tables(flat), catalog.payload_columns(flat), "added").drop("body_id")
 
 
 def import_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As a commit tells it: payloads whose version exists change nothing."""
     flat = _flat(spark, sf_dir)
     changes = catalog.import_changes(catalog.payload_tables(flat), catalog.payload_columns(flat), "added")
-    known = read_table(spark, sf_dir, "metadata_imports").select("metadata_version").dropDuplicates()
-    seen = flat["payload"].join(known, "metadata_version", "left_semi").select("payload_id", F.lit("unchanged").alias("seen"))
-    kind = F.coalesce("seen", "change_type").alias("change_type")
-    return changes.join(seen, "payload_id", "left").select(*[kind if c == "change_type" else c for c in changes.columns])
+    return catalog.with_known_versions(changes, flat["payload"], read_table(spark, sf_dir, "metadata_imports")).drop("body_id")
 
 
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)
-    return catalog.import_summary(catalog.payload_tables(flat), catalog.payload_columns(flat))
+    return catalog.import_summary(catalog.payload_tables(flat), catalog.payload_columns(flat)).drop("body_id")
 
 
 def import_change_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,36 @@
 """Nested JSON bodies to flat related tables.
 
 Method: one pass over each body; a depth-first visitor emits rows of (tag, key, parent key, payload).
-They are written once, partitioned by tag, and each tag is read back under its own schema.  The
-body is decoded in Arrow batches; nothing but the flat rows is shuffled afterwards.
+They are written once, partitioned by tag, and each tag is read back under its own schema.  Which arrays
+of objects become tables of their own, at any depth, is a parameter; other arrays that hold objects are
+emitted under the tag ``other`` with their path, so nothing is lost.
+
+Scale: bodies are read where they lie and never shuffled; only flat rows move.  A row's key is its
+body's id and digest with the positions on the way to it, so bodies that share an id don't mix, and
+repeated bodies collapse in a map-side-combined aggregate over flat rows.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.text import hashed
 from strandline.workspace import scratch_path
 
-EMITTED = "tag string, payload_id long, pos array<long>, parent array<long>, payload string"
-TABLE_SCHEMA = (
-    "catalog string, schema string, table_name string, name string, comment string, table_type string"
-)
-COLUMN_SCHEMA = "name string, data_type string, comment string, ordinal string, is_partition string, nullable string"
-PAYLOAD_SCHEMA = "metadata_version string, source_name string, default_catalog string, default_schema string, case_sensitive string"
+EMITTED = "tag string, payload_id long, body_id long, pos array<long>, parent array<long>, path string, payload string"
+OTHER = "other"
+#: Tables by tag: the way of array fields from the body, and the scalar fields.
+SHAPE = {
+    "payload": ((), "metadata_version string, source_name string, default_catalog string, default_schema string, case_sensitive string"),
+    "table": (("tables",), "catalog string, schema string, table_name string, name string, comment string, table_type string"),
+    "column": (("tables", "columns"), "name string, data_type string, comment string, ordinal string, is_partition string, nullable string"),
+}
 
 _OUTER_BLANKS = " \t\r\n\f\v\x85\xa0​﻿　"
 
@@ -48,63 +56,79 @@ def unwrap(envelope: dict | None) -> dict | None:
     return inner if isinstance(inner, dict) else decode_object(inner) if isinstance(inner, str) else None
 
 
-def _elements(value: Any) -> list:
-    return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
-
-
 def _text(value: Any) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def _flat(node: dict, children: str) -> str:
-    """The scalar fields of a node as JSON, nested ones as JSON text."""
-    return json.dumps({k: _text(v) for k, v in node.items() if k != children}, ensure_ascii=False)
-
-
-def visit(payload_id: int, body: str | None) -> Iterator[tuple]:
-    """Depth-first: the payload, each table object, each column object under it."""
-    root = unwrap(decode_object(body))
-    if root is None:
-        return
-    yield "payload", payload_id, [], None, _flat(root, "tables")
-    for i, table in enumerate(_elements(root.get("tables"))):
-        if isinstance(table, dict):
-            yield "table", payload_id, [i], [], _flat(table, "columns")
-            for j, column in enumerate(_elements(table.get("columns"))):
-                if isinstance(column, dict):
-                    yield "column", payload_id, [i, j], [i], _flat(column, "")
-
-
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["tag", "payload_id", "pos", "parent", "payload"]
-    for batch in batches:
-        rows: list[tuple] = []
-        for payload_id, body in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-            rows.extend(visit(int(payload_id), body if isinstance(body, str) else None))
-            if len(rows) >= 20_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+class Visitor:
+    """Depth-first over one object: ``(tag, positions, parent's positions, path, payload)`` of each object met.
 
+    A field on a declared way is a table: an array, or one object, which is an array of one.  Any other
+    array that holds an object is told under ``other``.  What isn't a table stays a field, nested values as text.
+    """
 
-def flatten_payloads(payloads: DataFrame, key: str = "payload_id", body: str = "body") -> dict[str, DataFrame]:
-    """``{"payload", "table", "column"}``: flat tables with ``payload_id`` and positions as links.
+    def __init__(self, shape: Mapping[str, tuple[tuple[str, ...], str]]) -> None:
+        self.tags = {way: tag for tag, (way, _) in shape.items()}
+
+    def visit(self, node: dict, way: tuple[str, ...] = (), at: tuple[int, ...] = ()) -> Iterator[tuple]:
+        todo = [(node, way, at)]  # a stack of its own: depth is that of the decoder, not of Python calls
+        while todo:
+            node, way, at = todo.pop()
+            below, flat = [], {}
+            for name, value in node.items():
+                deeper = (*way, name)
+                declared = deeper in self.tags
+                inner = value if isinstance(value, list) else [value] if declared and isinstance(value, dict) else ()
+                objects = [(x, deeper, (*at, k)) for k, x in enumerate(inner) if isinstance(x, dict)]
+                below += objects
+                if not declared and not objects:
+                    flat[name] = _text(value)
+            parent = list(at[:-1]) if at else None
+            yield self.tags.get(way, OTHER), list(at), parent, ".".join(way), json.dumps(flat, ensure_ascii=False)
+            todo += reversed(below)
+
+
+def flatten_payloads(payloads: DataFrame, key: str = "payload_id", body: str = "body", shape: Mapping[str, tuple[tuple[str, ...], str]] = SHAPE) -> dict[str, DataFrame]:
+    """One flat table per tag of ``shape``, and ``other``.
+
+    A table has ``payload_id, body_id``, one ``<tag>_pos`` per array on the way to it (for ``payload`` none) and
+    its fields; a child's parent has the same leading columns without the last position.  ``other`` has the
+    positions as an array, ``path`` and the object's fields as JSON text.
 
     Positions count from 0 in the arrays as sent; null and non-object elements keep their place and
-    yield nothing.  One object where an array belongs is an array of one.  Bodies that are null, empty,
-    cut off or not one JSON object yield no rows at all; so do rows without a key.  Fields that are
-    absent or null are null; nested extras stay JSON text.  Whole-row repeats count once.
+    yield nothing.  Bodies that are null, empty, cut off or not one JSON object yield no rows at all; so do
+    rows without a key.  Fields that are absent or null are null; nested extras stay JSON text.  Whole-row
+    repeats count once; bodies of one key that differ are bodies of their own.
     """
     spark = payloads.sparkSession
-    slim = payloads.where(F.col(key).isNotNull()).dropDuplicates().select(F.col(key).cast("long").alias("payload_id"), F.col(body).alias("body"))
+    visitor = Visitor(shape)
+    names = ["tag", "payload_id", "body_id", "pos", "parent", "path", "payload"]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for payload_id, body_id, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2]):
+                root = unwrap(decode_object(text if isinstance(text, str) else None))
+                if root is not None:
+                    for tag, *rest in visitor.visit(root):
+                        rows.append((tag, payload_id, body_id, *rest))
+                        if len(rows) >= 20_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    row = hashed(*[F.col(f"`{c}`").cast("string") for c in payloads.columns])
+    slim = payloads.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("payload_id"), row.alias("body_id"), F.col(body).alias("body"))
     path = scratch_path(spark, "flattened")
-    slim.mapInPandas(_emit, EMITTED).write.partitionBy("tag").parquet(path)
+    slim.mapInPandas(emit, EMITTED).write.partitionBy("tag").parquet(path)
     wide = spark.read.schema(EMITTED).parquet(path)
-    at = {"payload": [], "table": ["table_pos"], "column": ["table_pos", "column_pos"]}
+    tag_of = {way: tag for tag, (way, _) in shape.items()}
     out = {}
-    for tag, schema in (("payload", PAYLOAD_SCHEMA), ("table", TABLE_SCHEMA), ("column", COLUMN_SCHEMA)):
-        links = [F.col("pos")[i].alias(n) for i, n in enumerate(at[tag])]
-        out[tag] = wide.where(F.col("tag") == tag).select("payload_id", *links, F.from_json("payload", schema).alias("f")).select("payload_id", *at[tag], "f.*")
+    for tag, (way, schema) in shape.items():
+        links = [f"{tag_of.get(way[: k + 1], way[k])}_pos" for k in range(len(way))]
+        rows = wide.where(F.col("tag") == tag).select("payload_id", "body_id", *[F.col("pos")[k].alias(n) for k, n in enumerate(links)], F.from_json("payload", schema).alias("f"))
+        out[tag] = rows.dropDuplicates(["payload_id", "body_id", *links]).select("payload_id", "body_id", *links, "f.*")
+    out[OTHER] = wide.where(F.col("tag") == OTHER).select("payload_id", "body_id", "pos", "path", "payload").dropDuplicates(["payload_id", "body_id", "pos", "path"])
     return out
 
 
@@ -114,9 +138,9 @@ def named_columns(flat: dict[str, DataFrame]) -> DataFrame:
     A table's name is ``table_name``, else ``name``, else ''; a table without any named column yields
     one row with column position -1 and column name ''.
     """
-    tables = flat["table"].select("payload_id", "table_pos", F.coalesce("table_name", "name", F.lit("")).alias("table_name"))
-    columns = flat["column"].where(F.col("name").isNotNull()).select("payload_id", "table_pos", "column_pos", F.col("name").alias("column_name"))
-    return tables.join(columns, ["payload_id", "table_pos"], "left").select(
-        "payload_id", "table_pos", "table_name",
-        F.coalesce("column_pos", F.lit(-1)).cast("long").alias("column_pos"), F.coalesce("column_name", F.lit("")).alias("column_name"),
-    )
+    on = ["payload_id", "body_id", "table_pos"]
+    tables = flat["table"].select(*on, F.coalesce("table_name", "name", F.lit("")).alias("table_name"))
+    columns = flat["column"].where(F.col("name").isNotNull()).select(*on, "column_pos", F.col("name").alias("column_name"))
+    return tables.join(columns, on, "left").select(
+        *on, "table_name", F.coalesce("column_pos", F.lit(-1)).cast("long").alias("column_pos"), F.coalesce("column_name", F.lit("")).alias("column_name")
+    )

@@ -2,11 +2,12 @@
 
 Every table an operator writes between its steps goes to the folder the cluster names in
 ``spark.checkpoint.dir``, which all executors reach, so a lost executor costs a re-run of tasks and
-never a result.  Only where that setting is missing (tests, a laptop) a temporary folder is used.
+never a result.  Only where that setting is missing on a local master (tests, a laptop) a temporary folder is used.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,15 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only if the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none and runs in one process.
+
+    Raises RuntimeError on a cluster without that setting: executors wouldn't see each other's files.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="strandline-")
@@ -36,13 +42,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back with the same schema."""
     spark = df.sparkSession

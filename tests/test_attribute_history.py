@@ -29,9 +29,9 @@ def plain(rows):
     return out
 
 
-def found(spark, rows):
+def found(spark, rows, rows_per_slice=40):
     df = spark.createDataFrame(rows, ROWS)
-    got = attribute_history(df, "entity", "at", {"v": F.lower("v"), "w": F.coalesce("w", F.lit(""))}, F.col("kind") == "removed", ["got", "uid"]).collect()
+    got = attribute_history(df, "entity", "at", {"v": F.lower("v"), "w": F.coalesce("w", F.lit(""))}, F.col("kind") == "removed", ["got", "uid"], rows_per_slice=rows_per_slice).collect()
     assert len(set(got)) == len(got)
     return {(r["entity"], r["v"], r["w"], r["valid_from"], r["valid_to"]) for r in got}
 
@@ -62,5 +62,11 @@ def test_constant_state_over_all_slices_is_one_period(spark):
     assert found(spark, rows) == {(7, "a", "", 0, None)}
 
 
+def test_long_arrays_are_folded_in_pieces(spark):
+    """One slice of more states than a piece holds; equal states meet at the border of pieces."""
+    rows = [(k, 7, k, 1, "changed", "ab"[(k // 5) % 2], None) for k in range(700)]
+    assert found(spark, rows, 100_000) == plain(rows)
+
+
 def test_empty(spark):
     assert found(spark, []) == set()

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from strandline.operators import catalog, expression_lineage, views
 from strandline.sources.nested_json import flatten_payloads
 from strandline.sources.statements import normalized_dialect, output_fields, parse_statements, read_requests, source_locations, source_tables, statements
@@ -26,7 +28,7 @@ def test_preview_commit_and_read_back(spark):
     store = catalog.CatalogStore(spark, scratch_path(spark, "catalog"))
     seen = catalog.preview(flat(spark, F_ORD), "v1")
     assert (seen.status, seen.import_batch_id, seen.changes.count()) == ("preview_ready", None, 7)
-    assert [tuple(r)[1:] for r in seen.summary.collect()] == [(2, 5)]
+    assert [tuple(r)[2:] for r in seen.summary.collect()] == [(2, 5)]
     done = catalog.commit(flat(spark, F_ORD), "v1", store, "s")
     assert (done.status, done.import_batch_id) == ("committed", "1")
     again = catalog.commit(flat(spark, F_ORD), "v1", store)
@@ -43,6 +45,19 @@ def test_preview_commit_and_read_back(spark):
     assert {r["table_name"]: r["columns"] for r in catalog.columns_by_name(latest).collect()} == {"dwd_order_di": ["new"], "dim_user_df": ["user_id", "country_name"]}
 
 
+def test_an_import_that_dies_leaves_no_trace(spark, monkeypatch):
+    """Rows written before the death stay unseen, also once the next import has the same id."""
+    store = catalog.CatalogStore(spark, scratch_path(spark, "catalog"))
+    with monkeypatch.context() as patch:
+        patch.setattr(catalog.Versions, "store", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            catalog.commit(flat(spark, F_ORD), "v1", store)
+    assert store.tables().count() == 0
+    other = {"tables": [{"table_name": "other", "columns": [{"name": "c"}]}]}
+    assert catalog.commit(flat(spark, other), "v1", store).import_batch_id == "1"
+    assert [r["table_name"] for r in store.tables().collect()] == ["other"] and store.columns().count() == 1
+
+
 def graph(spark):
     nodes = [(1, k, i, t, i.split(":")[1]) for k, (i, t) in enumerate([("physical_table:db.t", "table"), ("physical_table:u", "table"), ("cte:a", "cte"), ("cte:b", "cte"), ("cte:l", "cte"), ("cte:m", "cte"), ("query_result:final", "output"), ("output_column:c", "output_column")])]
     edges = [("physical_table:db.t", "cte:a"), ("cte:a", "cte:b"), ("physical_table:u", "cte:b"), ("cte:b", "query_result:final"), ("cte:l", "cte:m"), ("cte:m", "cte:l"), ("physical_column:db.t.x", "output_column:c")]
