@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 _BLANKS = "[\\s\x85\xa0  -​    　﻿]+"
@@ -34,9 +35,7 @@ class Token(NamedTuple):
     def name(self) -> str:
         """The identifier meant, without its quotes."""
         if self.kind in ("backtick", "dquoted"):
-            quote = self.text[0]
-            inner = self.text[1:-1] if len(self.text) > 1 and self.text[-1] == quote else self.text[1:]
-            return inner.replace(quote * 2, quote)
+            return unquoted(self.text)
         return self.text
 
 
@@ -48,3 +47,16 @@ def plain_tokens(sql: str) -> list[Token]:
 def parser_tokens(sql: str) -> list[Token]:
     """Tokens for parsing: blanks and comments dropped, operators whole."""
     return [Token(m.lastgroup, m.group(), m.start(), m.end()) for m in _PARSING.finditer(sql) if m.lastgroup not in ("blank", "comment")]
+
+
+def plain_pieces(sql: str) -> Iterator[tuple[str, str]]:
+    """Kind and text of the tokens of :func:`plain_tokens`, for callers that need no places."""
+    for m in _PLAIN.finditer(sql):
+        if m.lastgroup != "blank":
+            yield m.lastgroup, m.group()
+
+
+def unquoted(text: str) -> str:
+    """The identifier inside backticks or double quotes."""
+    quote = text[0]
+    return (text[1:-1] if len(text) > 1 and text[-1] == quote else text[1:]).replace(quote * 2, quote)

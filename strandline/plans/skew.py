@@ -21,3 +21,18 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     heavy = rows.join(F.broadcast(hot), key)
     light = rows.join(names, key, "left_anti").join(keyed.where(F.col(count) <= limit), key)
     return heavy.unionByName(light)
+
+
+def join_salted(many: DataFrame, few: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``few`` on ``key`` where both may have several rows per key.
+
+    ``counts`` has ``key, n``: the rows of ``many`` per key, of ``total`` in all.  Keys with more than
+    ``total / HOT_KEYS`` rows, of which there are fewer than HOT_KEYS, are spread over salts: rows of
+    ``many`` by chance of their content, rows of ``few`` copied to each.
+    """
+    limit = max(total // HOT_KEYS, 1)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), salts).cast("int")).drop("_salts")
+    copied = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return spread.join(copied, [key, "_salt"]).drop("_salt")
