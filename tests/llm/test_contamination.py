@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as s
 
 from strandline.llm.alignment import nearly_verbatim, smith_waterman
-from strandline.llm.contamination import WINDOW, ItemBlock, find_leaks, leaked_items, shared_edges, words
+from strandline.llm.contamination import WINDOW, choose_seeds, item_words, leaked_items, shared_edges, word_hashes, words
 
 ids = s.lists(s.integers(0, 5), min_size=1, max_size=14)
 
@@ -90,17 +91,86 @@ def test_shared_instruction_does_not_count(spark):
 def test_shared_endings_of_sentences(spark):
     """Endings count like beginnings; a long item costs linear time."""
     ending = "Answer in one short sentence and do not quote any of the words above."
-    own = [" ".join(f"{c}{k}" for k in range(20)) + ". " for c in "ab"]
-    rows = [(0, own[0] + ending), (1, own[1] + ending), (2, "one two three. " * 30_000)]
+    own = [" ".join(f"{c}{k}" for k in range(20)) + ". " for c in "abc"]
+    rows = [(k, o + ending) for k, o in enumerate(own)] + [(3, "one two three. " * 30_000)]
     found = {r["item_id"]: (r["head"], r["tail"]) for r in shared_edges(spark.createDataFrame(rows, "item_id long, text string")).collect()}
-    assert found == {0: (None, 14), 1: (None, 14)}
-
-
-def test_common_phrases_are_still_found():
-    """Items that share all but a name: seeds that stay rare enough must not be lost."""
-    items = [(k, words(f"how many spools does {chr(97 + k)}x hold at the end and who has to flush them again")) for k in range(26)]
-    found = find_leaks(ItemBlock(items), ["how many spools does zz hold at the end and who has to flush them", "how many spools"])
-    assert {(d, i) for d, i, _, e in found if e} == {(0, k) for k in range(26)}
+    assert found == {k: (None, 14) for k in range(3)}
+
+
+def test_shared_passages_are_content(spark):
+    """A passage that two items share, or a long one that many share, leaks for all of them."""
+    passage = " ".join(f"p{k}" for k in range(60)) + "."
+    tests = [(k, f"{passage} What does q{k} hold at the end of the day?") for k in (1, 2)] + [(k, f"{passage} {' '.join(f'r{k}x{j}' for j in range(20))}.") for k in (3, 4)]
+    docs = spark.createDataFrame([(1, "before " + passage + " after")], "doc_id long, text string")
+    got = leaked_items(docs, spark.createDataFrame(tests, "item_id long, text string")).where("verbatim").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (1, 2), (1, 3), (1, 4)}
+
+
+def test_common_phrases_are_still_found(spark):
+    """Items that share all but a name, in documents that make every n-gram common."""
+    tests = [(k, f"how many spools does {chr(97 + k)}x hold at the end and who has to flush them again") for k in range(26)]
+    docs = [(k, "how many spools does zz hold at the end and who has to flush them") for k in range(40)] + [(99, "how many spools")]
+    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")).where("verbatim").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in range(40) for i in range(26)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(s.lists(s.sampled_from([0, 1, 40, 50, 1000, 5000]), min_size=WINDOW - 3, max_size=60))
+def test_seeds_are_complete(costs):
+    """Every window with any one word edited keeps a seed, unless some n-gram that stays stands nowhere."""
+    chosen = choose_seeds(np.array(costs))
+    for start in range(len(costs) + 4 - WINDOW):
+        for edit in range(WINDOW):
+            stay = [start + k for k in range(WINDOW - 3) if k + 4 <= edit or k > edit]
+            assert any(costs[k] == 0 or chosen[k] for k in stay)
+
+
+def test_words_of_arrow_and_python_agree(spark):
+    texts = ["", None, "Über_Maß  'x' 12½\n+ 日本語 foo", "  lead", "trail!! "]
+    hashes, bounds = word_hashes(pa.array(texts))
+    plain = [words(t or "") for t in texts]
+    assert np.diff(bounds).tolist() == [len(p) for p in plain]
+    assert hashes.tolist() == word_hashes(pa.array([" ".join(p) for p in plain]))[0].tolist()
+
+
+def edited(own, every, draw):
+    """A copy with one word in ``every`` replaced, dropped or doubled with another."""
+    out, k = [], draw.randrange(every)
+    for n, word in enumerate(own):
+        if n % every != k:
+            out.append(word)
+            continue
+        out += draw.choice([[f"new{draw.randrange(10**6)}"], [], [word, f"new{draw.randrange(10**6)}"]])
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with an edit every 5, 7 and 10 words are scored; unrelated texts of the same words aren't."""
+    draw = random.Random(11)
+    bank = [f"w{k}" for k in range(400)]
+    own = {k: [draw.choice(bank) for _ in range(70)] for k in range(60)}
+    docs = {(k, every): edited(text, every, draw) for k, text in own.items() for every in (5, 7, 10)}
+    noise = [" ".join(draw.choice(bank) for _ in range(150)) for _ in range(300)]
+    ids = {n: key for n, key in enumerate(docs)}
+    rows = [(n, " ".join(["lead"] * 9 + docs[key])) for n, key in ids.items()] + [(10_000 + n, t) for n, t in enumerate(noise)]
+    got = leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in own.items()], "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    for every in (5, 7, 10):
+        recall = sum((n, k) in pairs for n, (k, e) in ids.items() if e == every) / len(own)
+        assert recall >= 0.9, (every, recall)
+    right = sum(d < 10_000 and ids[d][0] == i for d, i in pairs)
+    assert right / len(pairs) >= 0.9
+
+
+def test_texts_of_one_word_cost_linear_time(spark):
+    docs = spark.createDataFrame([(1, "same " * 20_000)], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "same " * 300)], "item_id long, text string")
+    assert [tuple(r)[:2] for r in leaked_items(docs, tests).where("verbatim").collect()] == [(1, 1)]
+
+
+def test_item_words_without_instruction(spark):
+    rows = [(k, "Read this and answer all of it in short. " + " ".join(f"{c}{j}" for j in range(20))) for k, c in enumerate("abc")]
+    assert {len(r["words"]) for r in item_words(spark.createDataFrame(rows, "item_id long, text string")).collect()} == {20}
 
 
 def test_long_text_and_empty_tables(spark):
