@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
-from strandline.functions.sql_lexer import plain_tokens
+from strandline.functions.sql_lexer import plain_pieces, unquoted
 
 #: Words that end a WHERE condition on their level.
 _AFTER_WHERE = frozenset("group order having limit union intersect except minus window qualify cluster distribute sort offset fetch".split())
 #: Words that end a select list on their level.
 _AFTER_FIELDS = _AFTER_WHERE | frozenset(("from", "where", "lateral", "into"))
+_TWO = struct.Struct("<qq")
 _DOTTED = re.compile(r"[\w$@#]+(?:\.[\w$@#]+)*")
 
 
@@ -79,29 +81,30 @@ def canonical(sql: str | None) -> str | None:
         return None
     stack: list[list] = [[]]
     words = False
-    for token in plain_tokens(sql):
-        if token.kind == "op":
-            if token.text == "(":
+    for kind, text in plain_pieces(sql):
+        if kind == "word":
+            words = words or not text.isdigit()
+            stack[-1].append(text.lower())
+        elif kind == "op":
+            if text == "(":
                 stack.append(_Group())
-                continue
-            if token.text == ")" and len(stack) > 1:
+            elif text == ")" and len(stack) > 1:
                 group = _Group(_level(stack.pop()))
                 stack[-1].append(group)
-                continue
-            stack[-1].append(token.text)
-        elif token.kind in ("backtick", "dquoted"):
-            name = token.name.lower()
+            else:
+                stack[-1].append(text)
+        elif kind == "string":
+            stack[-1].append(text)
+        elif kind == "number":
+            stack[-1].append(text.lower())
+        else:
+            name = unquoted(text).lower()
             words = True
             if _DOTTED.fullmatch(name):
                 for k, piece in enumerate(name.split(".")):
                     stack[-1].extend([piece] if k == 0 else [".", piece])
             else:
                 stack[-1].append(f'"{name}"')
-        elif token.kind == "string":
-            stack[-1].append(token.text)
-        else:
-            words = words or token.kind == "word" and not token.text.isdigit()
-            stack[-1].append(token.text.lower())
     if not words:
         return None
     while len(stack) > 1:
@@ -113,7 +116,7 @@ def canonical(sql: str | None) -> str | None:
     return _render(_level(parts))
 
 
-def canonical_key(sql: str | None) -> str | None:
-    """128 bits of the canonical form as text."""
+def canonical_key(sql: str | None) -> tuple[int, int] | None:
+    """128 bits of the canonical form as two signed numbers."""
     form = canonical(sql)
-    return None if form is None else hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return None if form is None else _TWO.unpack(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())

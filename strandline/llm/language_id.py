@@ -122,6 +122,22 @@ def segment(model: lm.LanguageModel, texts: list[str]) -> list[tuple[list[tuple[
     return out
 
 
+def fitted(texts: DataFrame, lang_codes: DataFrame) -> lm.LanguageModel | None:
+    """The model of the bounded sample; None without a labelled text.  More than MAX_CODES notations raise ValueError."""
+    pairs = lang_codes.where("label is not null and lang is not null").dropDuplicates(["label"]).limit(MAX_CODES + 1).collect()
+    if len(pairs) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} notations of languages")
+    codes = {r["label"]: r["lang"] for r in pairs}
+    sentences, labels = training_sentences(texts, codes) if codes else ([], [])
+    return lm.train(sentences, labels, sorted(set(codes.values())), inverse_frequencies(texts)) if sentences else None
+
+
+def calibration(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
+    """``confidence_to, n, mean_confidence, share_right``: confidence against the truth on held-out spans of one to four words."""
+    model = fitted(materialise(with_prose(documents), "prose"), lang_codes)
+    return documents.sparkSession.createDataFrame(model.calibration if model else [], "confidence_to double, n long, mean_confidence double, share_right double")
+
+
 def language_segments(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
     """One row per segment of prose: see ``SEGMENTS``; ``label`` is the label as delivered.
 
@@ -130,15 +146,10 @@ def language_segments(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
     once; without a single labelled document there is no model and no rows.
     """
     spark = documents.sparkSession
-    pairs = lang_codes.where("label is not null and lang is not null").dropDuplicates(["label"]).limit(MAX_CODES + 1).collect()
-    if len(pairs) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} notations of languages")
-    codes = {r["label"]: r["lang"] for r in pairs}
     texts = materialise(with_prose(documents), "prose")
-    sentences, labels = training_sentences(texts, codes) if codes else ([], [])
-    if not sentences:
+    model = fitted(texts, lang_codes)
+    if model is None:
         return spark.createDataFrame([], SEGMENTS)
-    model = lm.train(sentences, labels, sorted(set(codes.values())), inverse_frequencies(texts))
     shared = spark.sparkContext.broadcast(model)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,6 +166,6 @@ def language_segments(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
 
 def relabelled(segments: DataFrame, lang_codes: DataFrame) -> DataFrame:
     """The segments of documents whose label is missing, names no or another language, or hides several."""
-    codes = F.broadcast(lang_codes.where("label is not null").groupBy("label").agg(F.min("lang").alias("meant")).limit(MAX_CODES))
+    codes = lang_codes.where("label is not null").groupBy("label").agg(F.min("lang").alias("meant"))
     known = segments.join(codes, "label", "left")
     return known.where(F.col("meant").isNull() | (F.col("n_segments") > 1) | (F.col("meant") != F.col("lang")))

@@ -61,6 +61,7 @@ class LanguageModel:
     energy: np.ndarray  #: squared IDF by feature
     temperature: float  #: of texts
     word_temperature: float  #: of single words
+    calibration: list[tuple[float, int, float, float]]  #: on held-out spans: upper end of the bin, spans, mean confidence, share right
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Raw scores by language, and energy, of each word."""
@@ -103,9 +104,9 @@ class LanguageModel:
             part = order[k : k + room]
             k += room
             first, size = start[part], length[part]
-            back = np.zeros((int(size.max()), len(part), emit.shape[1]), np.int8)
+            back = np.zeros((int(size.max()), len(part), emit.shape[1]), np.int16)
             best = emit[first].copy()
-            every = np.arange(emit.shape[1], dtype=np.int8)[None, :]
+            every = np.arange(emit.shape[1], dtype=np.int16)[None, :]
             for t in range(1, int(size.max())):
                 on = np.flatnonzero(size > t)
                 at = first[on] + t
@@ -113,7 +114,7 @@ class LanguageModel:
                 top = now.argmax(axis=1)
                 moved = now[np.arange(len(on)), top] - cost[at]
                 stay = now >= moved[:, None]
-                back[t, on] = np.where(stay, every, top[:, None].astype(np.int8))
+                back[t, on] = np.where(stay, every, top[:, None].astype(np.int16))
                 best[on] = np.where(stay, now, moved[:, None]) + emit[at]
             state = best.argmax(axis=1)
             for t in range(int(size.max()) - 1, -1, -1):
@@ -195,6 +196,13 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def calibration_bins(p: np.ndarray, y: np.ndarray, n: int = 10) -> list[tuple[float, int, float, float]]:
+    """Per tenth of confidence: its upper end, how many texts fall in it, their mean confidence, the share judged right."""
+    sure, right = p.max(axis=1), p.argmax(axis=1) == y
+    tenth = np.minimum((sure * n).astype(int), n - 1)
+    return [((k + 1) / n, int((tenth == k).sum()), float(sure[tenth == k].mean()), float(right[tenth == k].mean())) for k in range(n) if (tenth == k).any()]
+
+
 def train(sentences: list[list[str]], labels: list[str], languages: list[str], idf: np.ndarray, seed: int = 7) -> LanguageModel:
     """A model from sentences whose labels may be wrong.
 
@@ -232,6 +240,9 @@ def train(sentences: list[list[str]], labels: list[str], languages: list[str], i
     for low, high in ((1, 4), (1, 1)):
         probe = _Samples(spans(judged, low, high), idf)
         found.append(_temperature(_logits(w, probe, np.arange(len(judged))), y[judged]))
+    told = judged[draw.permutation(len(judged))[: max(1, len(judged) // 2)]]  # other spans than those the temperature was chosen on
+    z = np.concatenate([_logits(w, _Samples(spans(told, 1, 4), idf), np.arange(len(told))) for _ in range(2)])
+    bins = calibration_bins(_softmax(z / found[0]), np.concatenate([y[told]] * 2))
     live = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
     weights = np.concatenate([w[live] * idf[live, None], np.zeros((1, len(languages)))]).astype(np.float32)
-    return LanguageModel(languages, live, weights, (idf * idf).astype(np.float32), *found)
+    return LanguageModel(languages, live, weights, (idf * idf).astype(np.float32), *found, bins)

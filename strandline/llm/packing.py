@@ -5,6 +5,10 @@ cost (the sum of squared lengths).  Documents come in falling length; each goes
 container that satisfies every constraint and has the best weighted score: the smallest norm of what
 would remain, or the greatest dot product of demand and residual.
 
+How many documents a container takes, and what share of the attention cost of one document as long as the
+container, are parameters (:class:`Limits`).  With a share of 1 tokens bound the cost as well; below 1 a
+document longer than the root of the cost exceeds the capacity and is cut.
+
 Scale: texts are only counted where they are read; what is shuffled is one slim row per document.
 Documents are packed in blocks of about ``BLOCK_DOCS``, spread by hash, so that no task depends on
 the size of the corpus or of one source; each block leaves about one container part-filled.
@@ -12,6 +16,7 @@ the size of the corpus or of one source; each block leaves about one container p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +43,18 @@ class Capacity:
     @property
     def longest(self) -> int:
         """The longest piece that fits an empty container."""
-        return max(1, min(self.tokens, int(np.sqrt(self.attention))))
+        return max(1, min(self.tokens, math.isqrt(self.attention)))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Capacities that go with a number of tokens."""
+
+    tokens_per_document: int = 8  #: a container takes one document per so many tokens of its capacity
+    attention_share: float = 1.0  #: of the square of its tokens
 
-    @classmethod
-    def of(cls, tokens: int) -> Capacity:
-        """No document that fits by tokens is too costly; at most one document per eight tokens."""
-        return cls(tokens, max(1, tokens // 8), tokens * tokens)
+    def of(self, tokens: int) -> Capacity:
+        return Capacity(tokens, max(1, tokens // self.tokens_per_document), max(1, int(tokens * tokens * self.attention_share)))
 
 
 def cut(n_tokens: int, longest: int) -> list[tuple[int, int]]:
@@ -100,16 +111,16 @@ def with_token_counts(documents: DataFrame, vocabulary: str | None = None) -> Da
 OUTPUT = "container_id int, sequence_id long, slot int, doc_id long, piece int, first_token long, n_tokens long"
 
 
-def fill_containers(documents: DataFrame, containers: DataFrame, vocabulary: str | None = None, rule: str = "norm", block_docs: int = BLOCK_DOCS) -> DataFrame:
+def fill_containers(documents: DataFrame, containers: DataFrame, vocabulary: str | None = None, rule: str = "norm", block_docs: int = BLOCK_DOCS, limits: Limits = Limits()) -> DataFrame:
     """One row per piece of document placed: ``container_id, sequence_id, slot, doc_id, piece,
     first_token, n_tokens``.
 
     Every document with text comes out once for each kind of container, in one piece unless it exceeds
-    the capacity; null and empty texts and null ids don't come out.  Repeated rows count once; rows of
+    the capacity, in tokens or in attention cost; null and empty texts and null ids don't come out.  Repeated rows count once; rows of
     one doc_id with unequal texts are documents of their own.  Containers need a positive capacity.
     Equal lengths are ordered by doc_id, so that a repeated task gives the same result.
     """
-    kinds = [(int(c), Capacity.of(int(t))) for c, t in containers.select("container_id", "capacity_tokens").dropDuplicates().limit(MAX_CONTAINERS + 1).collect() if t and t > 0]
+    kinds = [(int(c), limits.of(int(t))) for c, t in containers.select("container_id", "capacity_tokens").dropDuplicates().limit(MAX_CONTAINERS + 1).collect() if t and t > 0]
     if len(kinds) > MAX_CONTAINERS:
         raise ValueError(f"more than {MAX_CONTAINERS} kinds of container")
     caps = dict(kinds)

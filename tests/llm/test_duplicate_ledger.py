@@ -8,7 +8,8 @@ from hypothesis import strategies as s
 
 from strandline.llm.canonical_sql import canonical
 from strandline.llm.duplicate_ledger import DuplicateLedger, with_keys
-from strandline.workspace import scratch_path
+from strandline.plans.versions import Versions
+from strandline.workspace import materialise, scratch_path
 
 BASE = "select o.a as x, count(b) as n from db.t o where o.c = 'A  b' and o.d > 1.50 order by o.a"
 SAME = [
@@ -67,9 +68,10 @@ def test_blanks_and_case_never_matter(tokens, draw):
 def ledger_of(spark, batches):
     ledger = DuplicateLedger(spark, scratch_path(spark, "ledger"))
     rows = None
-    for batch in batches:
-        keyed = with_keys(spark.createDataFrame(batch, "sql_id long, sql string, extra string"), "sql_id", "sql")
-        ledger.merge(keyed)
+    for k, batch in enumerate(batches):
+        keyed = with_keys(spark.createDataFrame(batch, "sql_id long, sql string, extra string"), "sql_id", "sql", with_text=True)
+        ledger.merge(keyed, f"b{k}")
+        ledger.merge(keyed, f"b{k}")  # told twice, counted once
         rows = keyed if rows is None else rows.unionByName(keyed)
     return ledger, rows
 
@@ -87,10 +89,48 @@ def test_ledger_counts_and_copies(spark):
         ledger, keyed = ledger_of(spark, cut)
         got = [tuple(r) for r in ledger.further_copies(keyed).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-        held = {(r["n"], r["first_id"], r["first_text"]) for r in ledger.rows().collect()}
+        held = {(r["n"], r["first_id"], r["text"]) for r in ledger.records(keyed).collect()}
         assert held == {(len(g), min(g), texts[min(g)]) for g in groups.values()}
 
 
 def test_empty_ledger(spark):
     ledger, keyed = ledger_of(spark, [[]])
     assert ledger.rows().count() == 0 and ledger.further_copies(keyed).count() == 0
+
+
+def test_only_touched_buckets_are_written_again(spark):
+    ledger = DuplicateLedger(spark, scratch_path(spark, "ledger"), buckets=8)
+    keyed = lambda rows: with_keys(spark.createDataFrame(rows, "sql_id long, sql string"), "sql_id", "sql")
+    ledger.merge(keyed([(k, f"select c{k} from t") for k in range(60)]), "first")
+    before = ledger._state()["at"]
+    ledger.merge(keyed([(100, "SELECT c7 FROM t;")]), "second")
+    after = ledger._state()["at"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert {r["n"] for r in ledger.rows().where("first_id = 7").collect()} == {2} and ledger.rows().count() == 60
+
+
+def test_the_merge_moves_only_the_batch(spark):
+    """The plan joins bucket by bucket: one exchange, that of the batch's own aggregate."""
+    ledger = DuplicateLedger(spark, scratch_path(spark, "ledger"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = materialise(with_keys(spark.createDataFrame([(k, f"select c{k} from t") for k in range(60)], "sql_id long, sql string"), "sql_id", "sql"), "keyed")
+    ledger.merge(keyed, "first")
+    state = ledger._state()
+    table = ledger._attach(state, list(state["at"]))
+    joined = keyed.groupBy("k1", "k2").count().join(spark.table(table), ["k1", "k2"], "full")
+    plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_a_merge_that_dies_changes_nothing(spark, monkeypatch):
+    ledger = DuplicateLedger(spark, scratch_path(spark, "ledger"))
+    keyed = with_keys(spark.createDataFrame([(1, "select a from t")], "sql_id long, sql string"), "sql_id", "sql")
+    ledger.merge(keyed, "first")
+    more = with_keys(spark.createDataFrame([(2, "select A from t")], "sql_id long, sql string"), "sql_id", "sql")
+    with monkeypatch.context() as patch:
+        patch.setattr(Versions, "store", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.merge(more, "second")
+    assert [r["n"] for r in ledger.rows().collect()] == [1]
+    ledger.merge(more, "second")
+    assert [r["n"] for r in ledger.rows().collect()] == [2]

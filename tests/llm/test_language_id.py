@@ -134,3 +134,17 @@ def test_frequencies_count_documents(spark):
     docs = spark.createDataFrame([(1, None, "alpha beta alpha", None, None), (2, None, "alpha gamma words", None, None)], DOCS)
     idf = inverse_frequencies(with_prose(docs))
     assert idf[lm.ngrams(["alpha"])[1]].min() < idf[lm.ngrams(["gamma"])[1]].max()
+
+
+def test_more_languages_than_a_byte_holds():
+    """Indexes of languages stay whole beyond 127."""
+    emit = np.full((6, 200), -9.0, np.float32)
+    emit[:3, 150], emit[3:, 199] = 0, 0
+    model = lm.LanguageModel([f"l{k}" for k in range(200)], np.zeros(0, np.int64), np.zeros((1, 200), np.float32), np.zeros(lm.SIZE, np.float32), 1.0, 1.0, [])
+    assert model.decode(emit, np.array([0]), np.ones(6, np.float32)).tolist() == [150] * 3 + [199] * 3
+
+
+def test_calibration_bins():
+    p = np.array([[0.9, 0.1], [0.94, 0.06], [0.4, 0.6], [1.0, 0.0]])
+    found = lm.calibration_bins(p, np.array([0, 1, 1, 0]))
+    assert [(round(b, 1), n, round(c, 3), round(r, 3)) for b, n, c, r in found] == [(0.7, 1, 0.6, 1.0), (1.0, 3, 0.947, 0.667)]

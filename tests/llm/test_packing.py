@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as s
 
-from strandline.llm.packing import Capacity, cut, fill_containers, pack
+from strandline.llm.packing import Capacity, Limits, cut, fill_containers, pack
 from strandline.llm.tokenizer import DEFAULT_VOCABULARY, TOKENIZER_DIR, count_tokens
 
 VOCABULARY = f"{TOKENIZER_DIR}/{DEFAULT_VOCABULARY}"
@@ -77,3 +77,16 @@ def test_empty_tables(spark):
 def test_attention_cost_cuts():
     assert Capacity(100, 5, 900).longest == 30
     assert cut(70, 30) == [(0, 30), (30, 30), (60, 10)]
+
+
+def test_dropping_a_constraint_changes_the_packing():
+    """Under a tight budget both the number of documents and the attention cost bind."""
+    draw = np.random.default_rng(4)
+    lengths = np.sort(np.clip(np.exp(draw.normal(4.6, 1.0, 3000)), 1, 256).astype(np.int64))[::-1]
+    used = lambda limits: int(pack(lengths, limits.of(512)).max()) + 1
+    tight = Limits(tokens_per_document=128, attention_share=0.25)
+    assert Limits(128, 0.25).of(512) == Capacity(512, 4, 65536) and Limits(128, 0.25).of(512).longest == 256
+    assert used(tight) > used(Limits(1, 0.25)) > used(Limits(1, 1.0)) and used(tight) > used(Limits(128, 1.0)) > used(Limits(1, 1.0))
+    where = pack(lengths, tight.of(512))
+    assert np.bincount(where).max() <= 4 and np.bincount(where, weights=lengths * lengths).max() <= 65536
+    assert lengths.sum() / (512 * used(Limits())) > 0.97
