@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.sql_format import formatted
 from strandline.operators import analysis, catalog, expression_lineage, structure, views
 from strandline.operators.lineage import attach_metadata, column_lineage, resolve
+from strandline.plans import corpora, lineage_oracle
 from strandline.plans.data_oracles import BLANK
 from strandline.sources import statements as st
 from strandline.sources.nested_json import flatten_payloads
@@ -79,10 +80,6 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.parse_statements(st.statements(read_table(spark, sf_dir, "analyze_requests")))
 
 
-def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).select("sql_id", "parse_ok", "sniffs_cte", "dialect")
-
-
 def output_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.output_fields(_facts(spark, sf_dir))
 
@@ -102,43 +99,88 @@ def structure_edges_of_statements(spark: SparkSession, sf_dir: str) -> DataFrame
     return edges.select("sql_id", "e.source", "e.target", "e.edge_type")
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve(attach_metadata(_facts(spark, sf_dir), catalog.columns_by_name(_latest(spark, sf_dir))))
+class Analysis:
+    """The queries of the analysis over statements and known columns."""
+
+    def __init__(self, requests, columns) -> None:
+        self.requests, self.columns = requests, columns
+
+    def _facts(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return st.parse_statements(st.statements(self.requests(spark, sf_dir)))
+
+    def _results(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return analysis.analyze(st.statements(self.requests(spark, sf_dir)), catalog.columns_by_name(self.columns(spark, sf_dir)))
+
+    def parse_status(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self._facts(spark, sf_dir).select("sql_id", "parse_ok", "sniffs_cte", "dialect")
+
+    def output_field_names(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """What the select items are, their text aside."""
+        items = self._facts(spark, sf_dir).select("sql_id", F.explode("items").alias("i"))
+        none = lambda c: F.coalesce(c, F.lit(""))
+        named = F.when(F.col("i.kind") == "column", none(F.col("i.column_name"))).otherwise("")
+        return items.select("sql_id", "i.pos", "i.kind", none(F.col("i.alias")).alias("alias"), none(F.col("i.qualifier")).alias("qualifier"), named.alias("column_name"), "i.source_type")
+
+    def table_references(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return st.table_references(self._facts(spark, sf_dir)).select("sql_id", "pos", "full_name", "alias", "is_top_level")
+
+    def lineage_columns(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Lineage of the statements whose graph is asked for; the others aren't resolved."""
+        facts = self._facts(spark, sf_dir)
+        resolved = resolve(attach_metadata(facts, catalog.columns_by_name(self.columns(spark, sf_dir))))
+        return column_lineage(resolved.where("include_graph and not sniffs_cte and parse_ok"))
+
+    def analysis_summary(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        drop = ("stage_statuses", "unsupported_features", "diagnostics", "nodes", "edges", "output_fields")
+        return self._results(spark, sf_dir).drop(*drop)
+
+    def analysis_diagnostics(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Diagnostics in order; what a parser says of text it can't read is its own, only its kind is told."""
+        return analysis.diagnostics_of(self._results(spark, sf_dir)).withColumn("message", _parser_text(F.col("message")))
 
+    def diagnostic_counts(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return analysis.diagnostics_of(self._results(spark, sf_dir)).groupBy("code", "level").agg(F.count("*").alias("n"))
 
-def lineage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage of the statements whose graph is asked for; the others aren't resolved."""
-    return column_lineage(_resolved(spark, sf_dir).where("include_graph"))
+    def analysis_features(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self._results(spark, sf_dir).select("sql_id", F.posexplode("unsupported_features").alias("ord", "feature"))
 
+    def analysis_stages(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = self._results(spark, sf_dir).select("sql_id", F.posexplode("stage_statuses").alias("ord", "s"))
+        return rows.select("sql_id", "ord", "s.stage", "s.status", F.array_join("s.diagnostic_codes", ",").alias("codes"), _parser_text(F.col("s.message")).alias("message"))
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = st.statements(read_table(spark, sf_dir, "analyze_requests"))
-    return analysis.analyze(requests, catalog.columns_by_name(_latest(spark, sf_dir)))
+    def analysis_nodes(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return analysis.nodes_of(self._results(spark, sf_dir))
 
+    def analysis_edges(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return analysis.edges_of(self._results(spark, sf_dir))
 
-def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drop = ("stage_statuses", "unsupported_features", "diagnostics", "nodes", "edges", "output_fields")
-    return _results(spark, sf_dir).drop(*drop)
 
+def _parser_text(c):
+    return F.when(c.startswith("SQL parse error"), "SQL parse error").otherwise(c)
 
-def analysis_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.diagnostics_of(_results(spark, sf_dir))
 
+OVER_DATA = Analysis(lambda spark, sf_dir: read_table(spark, sf_dir, "analyze_requests"), _latest)
+OVER_CORPUS = Analysis(lambda spark, sf_dir: corpora.requests(spark), lambda spark, sf_dir: corpora.catalog(spark))
+lineage_columns, _results = OVER_DATA.lineage_columns, OVER_DATA._results
 
-def analysis_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.nodes_of(_results(spark, sf_dir))
 
+def corpus_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised text of expressions."""
+    return st.output_fields(st.parse_statements(st.statements(corpora.expressions(spark)))).select("sql_id", "expression")
 
-def analysis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.edges_of(_results(spark, sf_dir))
+
+def corpus_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the engine's own graphs without an end: none."""
+    results = OVER_CORPUS._results(spark, sf_dir)
+    return structure.dangling_edges(analysis.nodes_of(results), analysis.edges_of(results))
 
 
 def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.result_json(_results(spark, sf_dir))
 
 
-def diagnostic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.diagnostics_of(_results(spark, sf_dir)).groupBy("code", "level").agg(F.count("*").alias("n"))
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.health(spark)
 
 
 def expression_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,49 +299,17 @@ def hover_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hover(words, latest)
 
 
-# --- constructs executed on data ------------------------------------------------------------------
-
-GOLDEN_CTE = """
-WITH order_base AS (
-  SELECT o_custkey AS user_id, o_orderkey AS order_no, o_totalprice AS order_amount FROM orders WHERE o_orderstatus <> 'P'
-), metric_base AS (
-  SELECT user_id, count(DISTINCT order_no) AS order_cnt, sum(order_amount) AS order_amount FROM order_base GROUP BY user_id
-)
-SELECT n.n_name AS country_name, CAST(sum(m.order_cnt) AS BIGINT) AS order_cnt,
-       round(sum(m.order_amount) / nullif(sum(m.order_cnt), 0), 2) AS avg_amount,
-       CAST(count(CASE WHEN m.order_cnt > 10 THEN 1 END) AS BIGINT) AS busy_users
-FROM metric_base m LEFT JOIN customer c ON m.user_id = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
-GROUP BY n.n_name
-"""
-GOLDEN_JOIN = """
-SELECT c.c_custkey AS user_id, n.n_name AS country_name, o.o_orderkey AS order_no
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey
-WHERE o.o_totalprice > 100000
-"""
-
-
-def _executed(sql: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for table in ("orders", "customer", "nation"):
-            read_table(spark, sf_dir, table).createOrReplaceTempView(table)
-        return spark.sql(sql)
-
-    return run
-
-
-golden_cte_exec, golden_join_exec = _executed(GOLDEN_CTE), _executed(GOLDEN_JOIN)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         catalog_tables, catalog_columns, catalog_columns_of_table, catalog_columns_by_name, catalog_count, import_preview, import_commit, import_summary,
-        import_change_groups, import_log_counts, parse_status, output_fields, source_tables, source_locations, structure_edges_of_statements, lineage_columns,
-        analysis_summary, analysis_diagnostics, analysis_nodes, analysis_edges, analysis_json, diagnostic_counts, expression_mappings, lineage_roll_up,
+        import_change_groups, import_log_counts, output_fields, source_tables, source_locations, structure_edges_of_statements,
+        analysis_json, health, corpus_expressions, corpus_dangling, expression_mappings, lineage_roll_up,
         statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds,
         graph_neighbourhood, graph_upstream, formatted_statements, graph_highlights, graph_search, column_table_links, cursor_matches, completion_order, hover_columns,
     )
-} | {"golden_cte_exec": golden_cte_exec, "golden_join_exec": golden_join_exec}
+}
+QUERIES |= {name: getattr(OVER_DATA, name) for name in lineage_oracle.SELECTS} | {f"corpus_{name}": getattr(OVER_CORPUS, name) for name in lineage_oracle.SELECTS}
 
 _LATEST = """latest_tables AS (
   SELECT * FROM table_metadata
@@ -360,39 +370,6 @@ _STATEMENTS = rf"""texts AS (
   FROM texts WHERE regexp_matches(sql, '\w')
 )"""
 
-_RESOLVED = rf"""shapes AS (
-  SELECT sql_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', 'S', 'g'), '{BLANK}+', ' ', 'g'),
-         '\([^()]*\)', '§', 'g'), '\([^()]*\)', '§', 'g'), '\([^()]*\)', '§', 'g') AS c
-  FROM (SELECT DISTINCT sql_id, sql, dialect, include_graph FROM analyze_requests)
-  WHERE regexp_matches(sql, '\w') AND coalesce(include_graph, true) AND NOT regexp_matches(sql, '(?i)^{BLANK}*with\b')
-), items AS (
-  SELECT sql_id, unnest(range(len(fs))) AS k, trim(unnest(fs)) AS item
-  FROM (SELECT sql_id, string_split(regexp_extract(c, '(?i)^ ?select (?:distinct )?(.*?)[ §]from ', 1), ',') AS fs FROM shapes)
-), columns AS (
-  SELECT sql_id, k, regexp_extract(item, '^`?(\w+)`?\.', 1) AS q, regexp_extract(item, '^(?:`?\w+`?\.)?`?(\w+)`?', 1) AS col,
-         regexp_extract(item, '(?i)^(?:`?\w+`?\.)?`?\w+`? (?:as )?[`"]?(\w+)[`"]?$', 1) AS alias
-  FROM items WHERE regexp_full_match(item, '(?i)(?:`?\w+`?\.)?`?[a-z_]\w*`?(?: (?:as )?[`"]?\w+[`"]?)?')
-), table_lists AS (
-  SELECT sql_id, regexp_extract_all(c, '(?i)\b(?:from|join) ({_NAME})', 1) AS names, regexp_extract_all(c, '(?i)\b(?:from|join) {_NAME}(?: (?:as )?([`"]?\w+[`"]?))?', 1) AS aliases FROM shapes
-), tables AS (
-  SELECT sql_id, k, name, CASE WHEN coalesce(alias, '') = '' OR lower(alias) IN ('left', 'right', 'inner', 'full', 'join', 'on', 'where', 'group', 'order', 'having', 'limit')
-                               THEN split_part(name, '.', -1) ELSE alias END AS alias
-  FROM (SELECT sql_id, unnest(range(len(names))) AS k, regexp_replace(unnest(names), '[`"]', '', 'g') AS name, regexp_replace(unnest(aliases), '[`"]', '', 'g') AS alias FROM table_lists)
-), known AS (SELECT table_name, list(name) AS names FROM latest GROUP BY table_name),
-counted AS (
-  SELECT t.sql_id, count(*) AS n, count(c.table_name) AS n_known, min(t.name) AS only FROM tables t LEFT JOIN known c ON c.table_name = t.name GROUP BY t.sql_id
-), owners AS (
-  SELECT i.*, CASE WHEN i.q <> '' THEN coalesce((SELECT arg_max(t.name, t.k) FROM tables t WHERE t.sql_id = i.sql_id AND t.alias = i.q),
-                                                 (SELECT min(t.name) FROM tables t WHERE t.sql_id = i.sql_id AND t.name = i.q))
-                   WHEN n.n = 1 THEN n.only END AS owner,
-         CASE WHEN i.q = '' AND n.n > 1 AND n.n_known = n.n THEN
-           (SELECT CASE WHEN count(*) = 1 THEN min(t.name) END FROM tables t JOIN known c ON c.table_name = t.name WHERE t.sql_id = i.sql_id AND list_contains(c.names, i.col)) END AS holder
-  FROM columns i JOIN counted n USING (sql_id)
-), lineage AS (
-  SELECT o.sql_id, o.k, coalesce(o.owner, o.holder) AS source_table, o.col AS source_column, CASE WHEN o.alias <> '' THEN o.alias ELSE o.col END AS output_column
-  FROM owners o LEFT JOIN known c ON c.table_name = o.owner
-  WHERE coalesce(o.owner, o.holder) IS NOT NULL AND (o.owner IS NULL OR c.names IS NULL OR list_contains(c.names, o.col))
-)"""
 _LEVELS = f"""{_GRAPH}, links AS (
   SELECT e.sql_id, e.source, e.target FROM edges e JOIN nodes t ON t.sql_id = e.sql_id AND t.id = e.target AND t.kind = 'cte' WHERE e.source IS NOT NULL
 ), placed(sql_id, id, level) AS (
@@ -419,9 +396,7 @@ _LAYOUT = f"""{_LEVELS}, laid AS (
 ), layout AS (SELECT * FROM laid UNION ALL SELECT * FROM outs)"""
 
 ORACLES = {
-    "lineage_columns": f"""WITH {_LATEST}, {_RESOLVED} SELECT sql_id, CAST(row_number() OVER (PARTITION BY sql_id ORDER BY k) - 1 AS INTEGER) AS ord,
-        source_table, source_column, output_column FROM lineage""",
-    "lineage_roll_up": f"WITH {_LATEST}, {_RESOLVED} SELECT DISTINCT sql_id, source_table, output_column FROM lineage",
+    "lineage_roll_up": f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} SELECT DISTINCT sql_id, source_table, output_column FROM lineage JOIN facts USING (sid)",
     "graph_levels": f"WITH RECURSIVE {_LEVELS} SELECT * FROM levels",
     "graph_layout": f"WITH RECURSIVE {_LAYOUT} SELECT * REPLACE (round(y, 6) AS y) FROM layout",
     "graph_bounds": f"WITH RECURSIVE {_LAYOUT} SELECT sql_id, min(x) AS min_x, round(min(y), 6) AS min_y, max(x) + 140 AS max_x, round(max(y) + 40, 6) AS max_y FROM layout GROUP BY sql_id",
@@ -438,9 +413,6 @@ ORACLES = {
         FROM (SELECT payload_id, count(*) AS n FROM named_tables GROUP BY 1) t LEFT JOIN (SELECT payload_id, count(*) AS n FROM named_columns GROUP BY 1) c USING (payload_id)""",
     "import_change_groups": f"WITH {_PAYLOADS}, {_CHANGES} SELECT payload_id, table_name, 'added' AS change_type, count(*) FILTER (object_type = 'column') AS n_columns FROM changes GROUP BY 1, 2",
     "import_log_counts": "SELECT change_type, object_type, count(*) AS n FROM (SELECT DISTINCT * FROM import_changes) GROUP BY 1, 2",
-    "parse_status": rf"""SELECT sql_id, coalesce(regexp_matches(sql, '\w'), false) AS parse_ok, coalesce(regexp_matches(sql, '(?i)^{BLANK}*with '), false) AS sniffs_cte,
-        CASE WHEN lower(trim(dialect)) IN ('spark', 'hive', 'mysql', 'starrocks', 'doris') THEN lower(trim(dialect)) ELSE 'spark' END AS dialect
-        FROM (SELECT DISTINCT sql_id, sql, dialect, include_graph FROM analyze_requests)""",
     "source_tables": f"""WITH {_STATEMENTS}, flat AS (SELECT sql_id, unnest(range(len(names))) AS k, unnest(names) AS table_name FROM refs),
         firsts AS (SELECT sql_id, table_name, min(k) AS k FROM flat GROUP BY 1, 2)
         SELECT sql_id, CAST(row_number() OVER (PARTITION BY sql_id ORDER BY k) - 1 AS INTEGER) AS ord, table_name FROM firsts""",
@@ -474,9 +446,12 @@ ORACLES = {
         SELECT unnest(['SELECT', 'FROM', 'WHERE', 'JOIN', 'GROUP BY', 'ORDER BY', 'WITH']) AS text, 'keyword' AS type
         UNION ALL SELECT DISTINCT table_name, 'table' FROM latest UNION ALL SELECT DISTINCT name, 'column' FROM latest)""",
     "hover_columns": f"WITH {_LATEST} SELECT name AS word, table_name, data_type, comment FROM latest",
-    "golden_cte_exec": GOLDEN_CTE,
-    "golden_join_exec": GOLDEN_JOIN,
+    "health": "SELECT 'ok' AS status, 'strandline' AS service, '0.1.0' AS version",
+    "corpus_expressions": f"SELECT CAST(k AS BIGINT) AS sql_id, t AS expression FROM (VALUES {lineage_oracle.values([(k, text) for k, (_, text) in enumerate(corpora.EXPRESSIONS)])}) v(k, t)",
+    "corpus_dangling": "SELECT CAST(0 AS BIGINT) AS sql_id, '' AS edge_id WHERE false",
 }
+ORACLES |= {name: f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
+ORACLES |= {f"corpus_{name}": f"WITH {lineage_oracle.CORPUS}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
 P3_FOUND = f"""WITH {_PAYLOADS}
 SELECT payload_id, table_pos, table_name, column_pos, column_name FROM named_columns
 UNION ALL
