@@ -59,11 +59,13 @@ def frontier_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
         for _ in range(n_levels):
             chains = _extend(chains, live)
         block = materialise(chains.where("own > 0"), "level")
-        longest = block.agg(F.max("own"), F.count("*")).first()
-        if not longest[1]:
+        grown = block.agg(F.max("grown")).first()[0]
+        if grown is None:
             break
         owned = F.transform(F.sequence(F.size("path") - F.col("own") + 1, F.size("path")), lambda k: F.slice("path", 1, k))
         placed.append(block.select("tree", F.explode(owned).alias("path")).select("tree", F.element_at("path", -1).alias("node"), "path"))
+        if grown < n_levels:
+            break
         front = block.where(F.col("grown") == n_levels).select("tree", "node", "path", "spread")
         alive = front.select("tree").dropDuplicates()
         live = materialise(live.join(alive, "tree", "left_semi"), "edges")

@@ -7,8 +7,6 @@ statements or with null ids simply find no partner.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +41,14 @@ RENDER_EVENTS = {
 #: Layout of structure graphs and of the table view.
 LEFT, TOP, LEVEL_GAP, ROW_GAP = 72, 72, 170, 56
 TABLE_VIEW_X, TABLE_VIEW_OUTPUT_X, TABLE_VIEW_GAP = 72, 292, 58
+#: Places of columns and outputs beside a structure, and where a graph has only them.
+COLUMN_X, FIELD_X, FIELDS_TOP, FIELD_GAP = 70, 420, 280, 76
+ONLY_FIELD_X, ONLY_TOP = 380, 70
+#: The result that graphs without one are given.
+RESULT_ID, RESULT_LABEL, RESULT_LABEL_COLS = "out:query_result", "Query Result", "Query Result (%d cols)"
+#: Width and height of a node's box by type; others are BOX.
+BOXES = {"output": (132, 32), "subquery": (138, 32), "cte": (125, 30), "output_field": (125, 30), "expression": (125, 30), "column": (122, 29)}
+BOX = (118, 29)
 #: Order of completion candidates.
 COMPLETION_ORDER = {"keyword": "0", "function": "1", "table": "2", "column": "3"}
 
@@ -167,9 +173,66 @@ def layout(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame) -> DataFr
     return inner.unionByName(outputs.select("sql_id", "id", "level", x.alias("x"), F.coalesce("own_y", "all_y", F.lit(float(TOP))).alias("y")))
 
 
-def bounds(laid: DataFrame, width: int = 140, height: int = 40) -> DataFrame:
-    """The box around all nodes of a statement."""
-    return laid.groupBy("sql_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), (F.max("x") + width).alias("max_x"), (F.max("y") + height).alias("max_y"))
+def place_all(nodes: DataFrame, edges: DataFrame, node_levels: DataFrame) -> DataFrame:
+    """``sql_id, id, type, label, x, y`` of everything that is drawn.
+
+    Structure nodes are laid out by level, columns and output fields below them; where a statement has
+    columns only, sources and outputs stand in two rows.  A structure without a result gets one, beside
+    the mean of its tables, CTEs and subqueries, labelled with the number of its output fields.
+    """
+    own = nodes.withColumn("kind", shown_node_type(F.col("node_type")))
+    structure = F.col("kind").isin("table", "cte", "subquery", "output")
+    flags = own.groupBy("sql_id").agg(F.max(structure).alias("has_structure"), F.max(F.col("kind") == "output").alias("has_result"), F.count_if(F.col("node_type") == "output_column").alias("n_fields"))
+    laid = layout(nodes, edges, node_levels).select("sql_id", "id", F.col("x").cast("int").alias("x"), "y").join(own.select("sql_id", "id", "kind", "label"), ["sql_id", "id"])
+    before = Window.partitionBy("sql_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # a statement's own nodes
+    sources = F.count_if(F.col("node_type") == "physical_column").over(before)
+    fields = F.count_if(F.col("node_type") == "output_column").over(before)
+    columns = own.withColumns({"s": sources, "f": fields}).where(F.col("node_type").isin("physical_column", "output_column")).join(flags, "sql_id")
+    is_field = F.col("node_type") == "output_column"
+    row = F.when(F.col("has_structure"), F.when(is_field, F.greatest(F.col("s") - 1, F.lit(0))).otherwise(F.col("s"))).otherwise(F.when(is_field, F.col("f")).otherwise(F.col("s")))
+    x = F.when(~is_field, COLUMN_X).when(F.col("has_structure"), FIELD_X).otherwise(ONLY_FIELD_X)
+    y = F.when(F.col("has_structure"), FIELDS_TOP).otherwise(ONLY_TOP) + row * FIELD_GAP
+    placed = columns.select("sql_id", "id", "kind", "label", x.alias("x"), y.cast("double").alias("y"))
+    means = laid.where("kind <> 'output'").groupBy("sql_id").agg(F.avg("y").alias("y"))
+    deepest = node_levels.groupBy("sql_id").agg(F.max("level").alias("deep"))
+    lacking = flags.where("not has_result and (has_structure or n_fields = 0)").join(means, "sql_id", "left").join(deepest, "sql_id", "left")
+    name = F.when(F.col("n_fields") > 0, F.format_string(RESULT_LABEL_COLS, "n_fields")).otherwise(RESULT_LABEL)
+    made = lacking.select("sql_id", F.lit(RESULT_ID).alias("id"), F.lit("output").alias("kind"), name.alias("label"), (LEFT + (F.coalesce("deep", F.lit(0)) + 1) * LEVEL_GAP).alias("x"), F.coalesce("y", F.lit(float(TOP))).alias("y"))
+    return laid.select("sql_id", "id", "kind", "label", "x", "y").unionByName(placed).unionByName(made).withColumnRenamed("kind", "type")
+
+
+def bounds(laid: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The box around all boxes of a statement; a box's size is that of its node's type."""
+    kind = shown_node_type(F.col("node_type"))
+    size = lambda k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for t, box in BOXES.items() for x in (t, box[k])]), kind), F.lit(BOX[k]))
+    boxes = laid.join(nodes.select("sql_id", "id", size(0).alias("w"), size(1).alias("h")), ["sql_id", "id"])
+    return boxes.groupBy("sql_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.max(F.col("y") + F.col("h")).alias("max_y"))
+
+
+def entity_set(nodes: DataFrame, mode: str) -> DataFrame:
+    """``sql_id, id`` of the entities that may be selected in a view: what the table and column views keep, else all."""
+    kinds = VIEW_TYPES[mode] if mode in ("table", "column") else None
+    kept = nodes if kinds is None else nodes.where(shown_node_type(F.col("node_type")).isin(*kinds))
+    return kept.select("sql_id", "id").dropDuplicates()
+
+
+def select_results(selections: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What selecting search entries leads to.
+
+    ``selections`` has selection_id, sql_id, entity_id, type, view_mode, mode.  Outside the column view an output
+    field leads to the first table that feeds it; the result itself, sources and fields without a table lead
+    to themselves.  Adds selected_entity, selected_output (null for sources) and next_mode.
+    """
+    tables = nodes.where("node_type = 'table'").select("sql_id", "ord", F.col("id").alias("table_node"))
+    feeds = column_tables(nodes, edges).withColumnRenamed("id", "entity_id").join(tables, "sql_id").where(F.contains("table_node", "table_id"))
+    first = feeds.groupBy("sql_id", "entity_id").agg(F.min_by("table_node", "ord").alias("owner"))
+    found = selections.join(first, ["sql_id", "entity_id"], "left")
+    jumps = (F.col("type") == "output") & (F.col("entity_id") != RESULT_ID) & (F.col("view_mode") != "column")
+    told = found.withColumn("event", F.when(F.col("type") == "output", "SELECT_OUTPUT_FIELD").otherwise("FOCUS_FIELD"))
+    return render_mode(told).select(
+        *selections.columns, F.when(jumps, F.coalesce("owner", "entity_id")).otherwise(F.col("entity_id")).alias("selected_entity"),
+        F.when(F.col("type") == "output", F.col("entity_id")).alias("selected_output"), "next_mode",
+    )
 
 
 def column_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,8 +292,11 @@ def highlights(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame, mode:
     return none
 
 
-def search_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``sql_id, entity_id, display_name, type, sub, reason, confidence``: result, outputs, sources."""
+def search_index(nodes: DataFrame, edges: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """``sql_id, entity_id, display_name, type, sub, reason, confidence``: result, outputs, sources.
+
+    ``statuses`` has sql_id and status: the result of a partial analysis has medium confidence.
+    """
     kind = shown_node_type(F.col("node_type"))
     outs = nodes.where("node_type = 'output_column'").select("sql_id", F.col("id").alias("entity_id"), F.col("label").alias("display_name"))
     from_tables = column_tables(nodes, edges).groupBy("sql_id", F.col("id").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set("table_id")), ", ").alias("tables"))
@@ -244,10 +310,11 @@ def search_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "sql_id", F.col("id").alias("entity_id"), short_label(F.col("label")).alias("display_name"), F.lit("source").alias("type"), kind.alias("sub"), F.lit("backend").alias("reason"), F.lit("high").alias("confidence")
     )
     counts = nodes.groupBy("sql_id").agg(F.count_if(kind.isin("table", "cte", "subquery")).alias("t"), F.count_if(F.col("node_type") == "output_column").alias("c"), F.min(F.when(kind == "output", F.col("id"))).alias("result"))
-    name = F.when(F.col("c") > 0, F.format_string("Query Result (%d cols)", "c")).otherwise("Query Result")
+    name = F.when(F.col("c") > 0, F.format_string(RESULT_LABEL_COLS, "c")).otherwise(RESULT_LABEL)
+    counts = counts.withColumn("partial", F.lit(False)) if statuses is None else counts.join(statuses.groupBy("sql_id").agg(F.max(F.col("status") == "partial").alias("partial")), "sql_id", "left")
     result = counts.select(
-        "sql_id", F.coalesce("result", F.lit("out:query_result")).alias("entity_id"), name.alias("display_name"), F.lit("output").alias("type"),
-        F.format_string("%d tables, %d cols", "t", "c").alias("sub"), F.lit("sql analyze").alias("reason"), F.lit("high").alias("confidence"),
+        "sql_id", F.coalesce("result", F.lit(RESULT_ID)).alias("entity_id"), name.alias("display_name"), F.lit("output").alias("type"),
+        F.format_string("%d tables, %d cols", "t", "c").alias("sub"), F.lit("sql analyze").alias("reason"), F.when(F.col("partial"), "medium").otherwise("high").alias("confidence"),
     )
     return result.unionByName(outs).unionByName(sources)
 
@@ -305,7 +372,12 @@ def entity_diagnostics(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.select("sql_id", "ord", F.lit("out:group").alias("entity_id"), F.coalesce("level", F.lit("info")).alias("severity"), "code", "message")
 
 
-def related_mappings(mappings: DataFrame, entities: Sequence[str]) -> DataFrame:
-    """Mappings whose source, target or expression is one of the entities."""
-    names = list(entities)
-    return mappings.where(F.col("source").isin(names) | F.col("target").isin(names) | F.col("expression").isin(names))
+def related_mappings(mappings: DataFrame, selected: DataFrame) -> DataFrame:
+    """Mappings of ``expression_lineage.mappings`` whose source or target is a selected entity.
+
+    ``selected`` has sql_id and id, as nodes have them; the source's table counts too.
+    """
+    source = F.concat(F.lit("physical_column:"), "source_table", F.lit("."), "source_column")
+    ends = F.array(source, F.concat(F.lit("physical_table:"), "source_table"), F.concat(F.lit("output_column:"), "output"))
+    spread = mappings.withColumn("id", F.explode(ends)).join(selected.select("sql_id", "id").dropDuplicates(), ["sql_id", "id"], "left_semi")
+    return spread.select(*mappings.columns).dropDuplicates()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from strandline.plans import corpora, lineage_oracle
 from strandline.plans.data_oracles import BLANK
 from strandline.sources import statements as st
 from strandline.sources.nested_json import flatten_payloads
-from strandline.workspace import read_table
+from strandline.workspace import materialise, read_table
 
 
 # --- catalog --------------------------------------------------------------------------------------
@@ -206,8 +208,8 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     prefix = F.element_at(F.split("id", ":"), 1)
     kind = F.when(prefix == "physical_table", "table").when(prefix == "cte", "cte").otherwise("output")
     ids = edges.select("sql_id", F.explode(F.array("source", "target")).alias("id")).where("id is not null").dropDuplicates()
-    nodes = ids.select("sql_id", "id", kind.alias("node_type"), F.regexp_replace("id", "^[^:]*:", "").alias("label"), F.lit(0).alias("ord"))
-    return nodes, edges
+    nodes = ids.select("sql_id", "id", kind.alias("node_type"), F.regexp_replace("id", "^[^:]*:", "").alias("label"), F.col("id").alias("ord"))
+    return nodes, edges  # rows come in no order: nodes are ordered by id
 
 
 def graph_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,15 +237,24 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph_tables(spark, sf_dir)
-    nodes = nodes.withColumn("ord", F.col("id"))
     return views.layout(nodes, edges, views.levels(nodes, edges)).withColumn("y", F.round("y", 6))
 
 
 def graph_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = views.bounds(graph_layout(spark, sf_dir))
+    box = views.bounds(graph_layout(spark, sf_dir), graph_tables(spark, sf_dir)[0])
     return box.withColumns({c: F.round(c, 6) for c in ("min_y", "max_y")})
 
 
+def graph_table_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the table view with their places."""
+    return views.table_view(*graph_tables(spark, sf_dir))[0].select("sql_id", "id", "type", "x", F.round("y", 6).alias("y"))
+
+
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be selected in the table view."""
+    return views.entity_set(graph_tables(spark, sf_dir)[0], "table")
+
+
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything beside each statement's result."""
     nodes, edges = graph_tables(spark, sf_dir)
@@ -261,9 +272,57 @@ def formatted_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sql_id", formatted(F.col("sql")).alias("formatted"))
 
 
-def graph_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph_tables(spark, sf_dir)
-    return views.highlights(nodes, edges, nodes, "subquery")
+def _corpus_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results of the corpus, and the nodes and edges of their graphs."""
+    results = materialise(OVER_CORPUS._results(spark, sf_dir), "results")
+    return results, analysis.nodes_of(results), analysis.edges_of(results)
+
+
+def _spots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return views.place_all(nodes, edges, views.levels(nodes, edges)).select("sql_id", "id", "type", "label", "x", F.round("y", 6).alias("y"))
+
+
+def corpus_column_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and output fields below the structure of each statement."""
+    _, nodes, edges = _corpus_graph(spark, sf_dir)
+    return _spots(nodes, edges).where("type in ('column', 'output_field')")
+
+
+def corpus_columns_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graphs without their structure: sources and outputs in two rows, no result."""
+    _, nodes, edges = _corpus_graph(spark, sf_dir)
+    return _spots(nodes.where("node_type like '%column'"), edges.where("edge_type = 'column_lineage'"))
+
+
+def corpus_made_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result that each graph of tables and columns gets when it has none."""
+    _, nodes, edges = _corpus_graph(spark, sf_dir)
+    with_ctes = nodes.where("node_type = 'cte'").select("sql_id").dropDuplicates()
+    plain = nodes.where("node_type <> 'output'").join(with_ctes, "sql_id", "left_anti")
+    return _spots(plain, edges).where(F.col("id") == views.RESULT_ID)
+
+
+def corpus_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where selecting each output field leads, from the table view and from the column view."""
+    _, nodes, edges = _corpus_graph(spark, sf_dir)
+    picks = nodes.where("node_type = 'output_column'").select("sql_id", F.col("id").alias("entity_id"), F.lit("output").alias("type"), F.lit("m").alias("mode"), F.explode(F.array(F.lit("table"), F.lit("column"))).alias("view_mode"))
+    picks = picks.withColumn("selection_id", F.concat_ws("/", "sql_id", "entity_id", "view_mode"))
+    return views.select_results(picks, nodes, edges).select("sql_id", "entity_id", "view_mode", "selected_entity", "selected_output", "next_mode")
+
+
+def corpus_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each view marks."""
+    results, nodes, edges = _corpus_graph(spark, sf_dir)
+    told = views.entity_diagnostics(analysis.diagnostics_of(results))
+    parts = [views.highlights(nodes, edges, told, mode).withColumn("mode", F.lit(mode)) for mode in views.VIEW_MODES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search entries of the results themselves."""
+    results, nodes, edges = _corpus_graph(spark, sf_dir)
+    found = views.search_index(nodes, edges, results.select("sql_id", "status"))
+    return found.where("reason = 'sql analyze'").select("sql_id", "entity_id", "display_name", "sub", "confidence")
 
 
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,10 +352,9 @@ def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hover_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What hovering over the distinct output names of all statements shows."""
-    latest = _latest(spark, sf_dir)
-    words = latest.select(F.col("name").alias("word")).dropDuplicates()
-    return views.hover(words, latest)
+    """What hovering over the columns that all statements select shows."""
+    fields = OVER_DATA.output_field_names(spark, sf_dir).where("kind = 'column'")
+    return views.hover(fields.select(F.col("column_name").alias("word")).dropDuplicates(), _latest(spark, sf_dir))
 
 
 QUERIES = {
@@ -305,8 +363,8 @@ QUERIES = {
         catalog_tables, catalog_columns, catalog_columns_of_table, catalog_columns_by_name, catalog_count, import_preview, import_commit, import_summary,
         import_change_groups, import_log_counts, output_fields, source_tables, source_locations, structure_edges_of_statements,
         analysis_json, health, corpus_expressions, corpus_dangling, expression_mappings, lineage_roll_up,
-        statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds,
-        graph_neighbourhood, graph_upstream, formatted_statements, graph_highlights, graph_search, column_table_links, cursor_matches, completion_order, hover_columns,
+        statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds, graph_table_positions, graph_entities,
+        graph_neighbourhood, graph_upstream, formatted_statements, graph_search, corpus_column_places, corpus_columns_only, corpus_made_results, corpus_selected, corpus_highlights, corpus_search, column_table_links, cursor_matches, completion_order, hover_columns,
     )
 }
 QUERIES |= {name: getattr(OVER_DATA, name) for name in lineage_oracle.SELECTS} | {f"corpus_{name}": getattr(OVER_CORPUS, name) for name in lineage_oracle.SELECTS}
@@ -399,7 +457,12 @@ ORACLES = {
     "lineage_roll_up": f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} SELECT DISTINCT sql_id, source_table, output_column FROM lineage JOIN facts USING (sid)",
     "graph_levels": f"WITH RECURSIVE {_LEVELS} SELECT * FROM levels",
     "graph_layout": f"WITH RECURSIVE {_LAYOUT} SELECT * REPLACE (round(y, 6) AS y) FROM layout",
-    "graph_bounds": f"WITH RECURSIVE {_LAYOUT} SELECT sql_id, min(x) AS min_x, round(min(y), 6) AS min_y, max(x) + 140 AS max_x, round(max(y) + 40, 6) AS max_y FROM layout GROUP BY sql_id",
+    "graph_bounds": f"""WITH RECURSIVE {_LAYOUT}, boxes AS (SELECT l.sql_id, x, y, CASE kind WHEN 'output' THEN 132 WHEN 'cte' THEN 125 ELSE 118 END AS w, CASE kind WHEN 'output' THEN 32 WHEN 'cte' THEN 30 ELSE 29 END AS h FROM layout l JOIN nodes n USING (sql_id, id))
+        SELECT sql_id, min(x) AS min_x, round(min(y), 6) AS min_y, max(x + w) AS max_x, round(max(y + h), 6) AS max_y FROM boxes GROUP BY sql_id""",
+    "graph_table_positions": f"""WITH {_GRAPH}, kept AS (SELECT sql_id, id, kind AS type, count(*) FILTER (kind = 'table') OVER (PARTITION BY sql_id) AS n, row_number() OVER (PARTITION BY sql_id ORDER BY id) - 1 AS place,
+          row_number() OVER (PARTITION BY sql_id, kind ORDER BY id) - 1 AS own FROM nodes WHERE kind IN ('table', 'output'))
+        SELECT sql_id, id, type, CASE type WHEN 'table' THEN 72 ELSE 292 END AS x, CAST(CASE WHEN type = 'table' THEN 72 + own * 58 WHEN n > 0 THEN 72 + (n - 1) * 29.0 ELSE 72 + place * 58 END AS DOUBLE) AS y FROM kept""",
+    "graph_entities": f"WITH {_GRAPH} SELECT sql_id, id FROM nodes WHERE kind IN ('table', 'output')",
     "catalog_tables": f"WITH {_LATEST} SELECT catalog, schema_name, table_name, comment, table_type FROM latest_tables",
     "catalog_columns": f"WITH {_LATEST} SELECT * REPLACE (CAST(is_partition AS INTEGER) AS is_partition, CAST(nullable AS INTEGER) AS nullable) FROM latest",
     "catalog_columns_of_table": f"WITH {_LATEST} SELECT * EXCLUDE (table_id) REPLACE (CAST(is_partition AS INTEGER) AS is_partition, CAST(nullable AS INTEGER) AS nullable) FROM latest WHERE table_name = 'dwd_trade_event_wide_di'",
@@ -437,7 +500,6 @@ ORACLES = {
         SELECT e.sql_id, n.id, e.source, 1 FROM nodes n JOIN edges e ON e.sql_id = n.sql_id AND e.target = n.id WHERE n.kind = 'output' AND e.source IS NOT NULL
         UNION SELECT w.sql_id, w.start, e.source, w.distance + 1 FROM walk w JOIN edges e ON e.sql_id = w.sql_id AND e.target = w.id WHERE e.source IS NOT NULL AND w.distance < 500
       ) SELECT sql_id, start, id, min(distance) AS distance FROM walk GROUP BY 1, 2, 3""",
-    "graph_highlights": f"WITH {_GRAPH} SELECT sql_id, 'node' AS kind, id FROM nodes WHERE kind = 'cte'",
     "graph_search": f"""WITH {_GRAPH} SELECT sql_id, id AS entity_id, split_part(label, '.', -1) AS display_name, 'source' AS type FROM nodes
         WHERE kind <> 'output' AND contains(lower(split_part(label, '.', -1)), 'order')""",
     "column_table_links": f"""WITH {_GRAPH} SELECT DISTINCT e.sql_id, e.target AS id, n.id AS table_id FROM edges e JOIN nodes n ON n.sql_id = e.sql_id AND n.kind = 'table'
@@ -445,11 +507,35 @@ ORACLES = {
     "completion_order": f"""WITH {_LATEST} SELECT text, type, CASE type WHEN 'keyword' THEN '0_' WHEN 'table' THEN '2_' ELSE '3_' END || lower(text) AS sort_text FROM (
         SELECT unnest(['SELECT', 'FROM', 'WHERE', 'JOIN', 'GROUP BY', 'ORDER BY', 'WITH']) AS text, 'keyword' AS type
         UNION ALL SELECT DISTINCT table_name, 'table' FROM latest UNION ALL SELECT DISTINCT name, 'column' FROM latest)""",
-    "hover_columns": f"WITH {_LATEST} SELECT name AS word, table_name, data_type, comment FROM latest",
+    "hover_columns": f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} SELECT name AS word, table_name, data_type, comment FROM latest WHERE name IN (SELECT col FROM fields WHERE kind = 'column')",
     "health": "SELECT 'ok' AS status, 'strandline' AS service, '0.1.0' AS version",
     "corpus_expressions": f"SELECT CAST(k AS BIGINT) AS sql_id, t AS expression FROM (VALUES {lineage_oracle.values([(k, text) for k, (_, text) in enumerate(corpora.EXPRESSIONS)])}) v(k, t)",
     "corpus_dangling": "SELECT CAST(0 AS BIGINT) AS sql_id, '' AS edge_id WHERE false",
 }
+_CORPUS = f"WITH {lineage_oracle.CORPUS}, {lineage_oracle.ENGINE}"
+_RANKED = """, shown AS (SELECT s.sql_id, n.*, count(*) FILTER (node_type = 'physical_column') OVER w AS s, count(*) FILTER (node_type = 'output_column') OVER w AS f
+  FROM nodes n JOIN facts s USING (sid) WINDOW w AS (PARTITION BY sid ORDER BY n.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_TYPED = "CASE node_type WHEN 'physical_column' THEN 'column' ELSE 'output_field' END AS type"
+ORACLES |= {
+    "corpus_column_places": f"""{_CORPUS}{_RANKED} SELECT sql_id, id, {_TYPED}, label, CASE node_type WHEN 'physical_column' THEN 70 ELSE 420 END AS x, CAST(280 + 76 * CASE node_type WHEN 'physical_column' THEN s ELSE greatest(s - 1, 0) END AS DOUBLE) AS y
+        FROM shown h WHERE node_type LIKE '%column' AND EXISTS (SELECT 1 FROM nodes o WHERE o.sid = h.sid AND o.node_type = 'output')
+        UNION ALL SELECT sql_id, id, {_TYPED}, label, CASE node_type WHEN 'physical_column' THEN 70 ELSE 380 END, CAST(70 + 76 * CASE node_type WHEN 'physical_column' THEN s ELSE f END AS DOUBLE)
+        FROM shown h WHERE node_type LIKE '%column' AND NOT EXISTS (SELECT 1 FROM nodes o WHERE o.sid = h.sid AND o.node_type = 'output')""",
+    "corpus_columns_only": f"""{_CORPUS}{_RANKED} SELECT sql_id, id, {_TYPED}, label, CASE node_type WHEN 'physical_column' THEN 70 ELSE 380 END AS x, CAST(70 + 76 * CASE node_type WHEN 'physical_column' THEN s ELSE f END AS DOUBLE) AS y
+        FROM shown WHERE node_type LIKE '%column'""",
+    "corpus_made_results": f"""{_CORPUS}, sums AS (SELECT sid, count(*) FILTER (node_type = 'table') AS t, count(*) FILTER (node_type = 'output_column') AS c FROM nodes GROUP BY sid HAVING count(*) FILTER (node_type = 'cte') = 0)
+        SELECT sql_id, 'out:query_result' AS id, 'output' AS type, CASE WHEN c > 0 THEN 'Query Result (' || c || ' cols)' ELSE 'Query Result' END AS label, 242 AS x, 72 + 28.0 * (t - 1) AS y
+        FROM sums JOIN facts USING (sid) WHERE t > 0""",
+    "corpus_selected": f"""{_CORPUS}, outs AS (SELECT sid, id FROM nodes WHERE node_type = 'output_column'), tabs AS (SELECT sid, ord, id, split_part(id, ':', -1) AS tail FROM nodes WHERE node_type = 'table'),
+        owners AS (SELECT o.sid, o.id, arg_min(n.id, n.ord) AS owner FROM outs o JOIN edges e ON e.sid = o.sid AND e.target = o.id JOIN tabs t ON t.sid = o.sid AND contains(e.source, t.tail) JOIN tabs n ON n.sid = o.sid AND contains(n.id, t.id) GROUP BY 1, 2)
+        SELECT sql_id, o.id AS entity_id, view_mode, CASE view_mode WHEN 'table' THEN coalesce(w.owner, o.id) ELSE o.id END AS selected_entity, o.id AS selected_output, 'current_field_path' AS next_mode
+        FROM outs o JOIN facts USING (sid) LEFT JOIN owners w ON w.sid = o.sid AND w.id = o.id, (VALUES ('table'), ('column')) v(view_mode)""",
+    "corpus_highlights": f"""{_CORPUS} SELECT sql_id, 'node' AS kind, id, mode FROM nodes JOIN facts USING (sid), (VALUES ('subquery'), ('semantics')) v(mode) WHERE node_type = 'cte'
+        UNION ALL SELECT DISTINCT sql_id, 'node', 'out:group', 'diagnostics' FROM told JOIN facts USING (sid)""",
+    "corpus_search": f"""{_CORPUS}, sums AS (SELECT sid, count(*) FILTER (node_type IN ('table', 'cte')) AS t, count(*) FILTER (node_type = 'output_column') AS c, min(id) FILTER (node_type = 'output') AS r FROM nodes GROUP BY sid)
+        SELECT sql_id, coalesce(r, 'out:query_result') AS entity_id, CASE WHEN c > 0 THEN 'Query Result (' || c || ' cols)' ELSE 'Query Result' END AS display_name, t || ' tables, ' || c || ' cols' AS sub,
+               CASE status WHEN 'partial' THEN 'medium' ELSE 'high' END AS confidence FROM sums JOIN results USING (sid)""",
+}
 ORACLES |= {name: f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
 ORACLES |= {f"corpus_{name}": f"WITH {lineage_oracle.CORPUS}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
 P3_FOUND = f"""WITH {_PAYLOADS}

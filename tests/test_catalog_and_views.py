@@ -81,7 +81,7 @@ def test_levels_and_layout(spark):
     assert {r["id"].split(":")[1]: r["level"] for r in found.collect()} == {"db.t": 0, "u": 0, "a": 1, "b": 1, "l": 0, "m": 0, "final": 2}
     laid = {r["id"].split(":")[1]: (r["x"], r["y"]) for r in views.layout(nodes, edges, found).collect()}
     assert laid["a"] == (242, 72.0) and laid["b"] == (242, 128.0) and laid["final"] == (412, 128.0)
-    assert views.bounds(views.layout(nodes, edges, found)).first()["max_x"] == 412 + 140
+    assert views.bounds(views.layout(nodes, edges, found), nodes).first()["max_x"] == 412 + 132
 
 
 def test_deep_levels(spark):
@@ -136,6 +136,8 @@ def test_statement_facts(spark):
     assert [r["table_name"] for r in source_tables(facts).orderBy("ord").collect()] == ["t", "db.v"]
     assert [(r["entity_id"], r["line"], r["col"], r["len"]) for r in source_locations(facts).collect()] == [("output_column:x", 1, 8, 1), ("output_column:s", 2, 3, 8)]
     assert [(r["output"], r["source_table"], r["source_column"], r["relation"]) for r in expression_lineage.mappings(facts).orderBy("pos").collect()] == [("x", None, "a", "direct"), ("s", "t", "b", "aggregate")]
+    picked = spark.createDataFrame([(1, "physical_column:t.b")], "sql_id long, id string")
+    assert [r["output"] for r in views.related_mappings(expression_lineage.mappings(facts), picked).collect()] == ["s"]
     assert facts.first()["dialect"] == "hive" and output_fields(facts).count() == 2
     names = spark.createDataFrame([("Doris",), ("oracle",), (None,)], "d string")
     assert [r[0] for r in names.select(normalized_dialect(names.d)).collect()] == ["doris", "spark", "spark"]
