@@ -127,12 +127,13 @@ def _ordered_pairs(edges: DataFrame) -> DataFrame:
 def _peeled(core: DataFrame, both_sides: bool = False) -> DataFrame:
     """The edges left when leaves, and with ``both_sides`` nodes without a parent, are taken off until none is left."""
     while True:
-        size, less = core.count(), core
-        for _ in range(_PEELS_PER_JOB):
-            less = less.join(less.select("tree", F.col("parent").alias("child")).dropDuplicates(), ["tree", "child"], "left_semi")
-            if both_sides:
-                less = less.join(less.select("tree", F.col("child").alias("parent")).dropDuplicates(), ["tree", "parent"], "left_semi")
-                break
+        size = core.count()
+        inner = core.select("tree", F.col("parent").alias("child")).dropDuplicates()
+        for _ in range(0 if both_sides else _PEELS_PER_JOB - 1):
+            inner = core.join(inner, ["tree", "child"], "left_semi").select("tree", F.col("parent").alias("child")).dropDuplicates()
+        less = core.join(inner, ["tree", "child"], "left_semi")
+        if both_sides:
+            less = less.join(core.select("tree", F.col("child").alias("parent")).dropDuplicates(), ["tree", "parent"], "left_semi")
         core = materialise(less.select("tree", "parent", "child"), "peeled")
         if core.count() == size:
             return core
