@@ -7,6 +7,7 @@ of statements in Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,7 +20,7 @@ RESERVED = frozenset(
     "BETWEEN LIKE RLIKE ILIKE DISTINCT INNER LEFT RIGHT FULL CROSS NATURAL LATERAL BY QUALIFY OFFSET FETCH WINDOW TABLESAMPLE PIVOT UNPIVOT INTO SET".split()
 )
 #: Words that may follow a table and so can't be its alias; the rest of RESERVED applies too.
-_NO_ALIAS = RESERVED | frozenset("CLUSTER DISTRIBUTE SORT ANTI SEMI OUTER FOR".split())
+_NO_ALIAS = RESERVED | frozenset("STRAIGHT_JOIN CLUSTER DISTRIBUTE SORT ANTI SEMI OUTER FOR".split())
 _AGGREGATES = frozenset(
     "COUNT SUM AVG MEAN MIN MAX COUNT_IF STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP COLLECT_LIST COLLECT_SET ARRAY_AGG FIRST LAST FIRST_VALUE LAST_VALUE "
     "APPROX_COUNT_DISTINCT PERCENTILE PERCENTILE_APPROX MEDIAN MODE BOOL_AND BOOL_OR EVERY SOME ANY_VALUE CORR COVAR_POP COVAR_SAMP SKEWNESS KURTOSIS MAX_BY MIN_BY GROUP_CONCAT LISTAGG STRING_AGG".split()
@@ -27,9 +28,11 @@ _AGGREGATES = frozenset(
 _TYPE_WORDS = {"INTEGER": "INT"}
 _COMPARISONS = {"=": "=", "==": "=", "<>": "<>", "!=": "<>", "<": "<", ">": ">", "<=": "<=", ">=": ">=", "<=>": "<=>"}
 _ADDITIVE = {x: x for x in ("+", "-", "||", "&", "|", "^")}
-_MULTIPLICATIVE = {x: x for x in ("*", "/", "%", "DIV")}
+_MULTIPLICATIVE = {x: x for x in ("*", "/", "%", "DIV", "->>")}
 _UNITS = frozenset("YEAR QUARTER MONTH WEEK DAY HOUR MINUTE SECOND MILLISECOND MICROSECOND YEARS MONTHS WEEKS DAYS HOURS MINUTES SECONDS".split())
-_MAX_DEPTH = 200
+#: Nested brackets, queries and CASEs; about two a bracket.  Python calls are no limit: see parse_facts.
+_MAX_DEPTH = 10_000
+_CALLS = 200_000
 
 
 class SqlParseError(ValueError):
@@ -331,7 +334,7 @@ class _Parser:
                 for w in ("OUTER", "SEMI", "ANTI"):
                     if self.accept(w):
                         break
-            if not self.accept("JOIN"):
+            if not self.accept("JOIN") and not self.accept("STRAIGHT_JOIN"):
                 self.at = k
                 return
             self.facts.joins += 1
@@ -765,13 +768,19 @@ class _Parser:
         return word
 
 
-def parse_facts(sql: str | None) -> tuple[Facts | None, str | None]:
-    """(facts, None), or (None, message) where the text isn't one query."""
+def parse_facts(sql: str | None, dialect: str = "") -> tuple[Facts | None, str | None]:
+    """(facts, None), or (None, message) where the text isn't one query.
+
+    All dialects share one grammar; the message names the ``dialect`` that was asked for.
+    """
+    name = f" ({dialect})" if dialect else ""
     if sql is None or not sql.strip():
-        return None, "SQL parse error: the statement is empty"
+        return None, f"SQL parse error{name}: the statement is empty"
+    if sys.getrecursionlimit() < _CALLS:  # calls between Python functions take no stack of the process
+        sys.setrecursionlimit(_CALLS)
     try:
         return _Parser(sql).statement(), None
     except SqlParseError as error:
-        return None, f"SQL parse error: {error}"
+        return None, f"SQL parse error{name}: {error}"
     except RecursionError:
-        return None, "SQL parse error: nested too deeply"
+        return None, f"SQL parse error{name}: nested too deeply"

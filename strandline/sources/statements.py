@@ -69,8 +69,8 @@ def statements(requests: DataFrame, sql_id: str = "sql_id", sql: str = "sql") ->
     return slim.dropDuplicates()
 
 
-def _facts(sql: str | None) -> dict:
-    facts, error = parse_facts(sql)
+def _facts(sql: str | None, dialect: str) -> dict:
+    facts, error = parse_facts(sql, dialect)
     if facts is None:
         return {"parse_ok": False, "error": error, "has_with": False, "has_subquery": False, "joins": 0, "items": [], "tables": [], "ctes": []}
     return {
@@ -88,7 +88,7 @@ def parse_statements(rows: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_facts(sql) for sql in batch.column("sql").to_pylist()]
+            found = [_facts(sql, dialect) for sql, dialect in zip(batch.column("sql").to_pylist(), batch.column("dialect").to_pylist())]
             given = [batch.column(n).cast(t) for n, t in zip(FACTS_SCHEMA.names[:4], FACTS_SCHEMA.types[:4])]
             made = [pa.array([f[n] for f in found], t) for n, t in _FACTS]
             yield pa.RecordBatch.from_arrays([*given, *made], schema=FACTS_SCHEMA)

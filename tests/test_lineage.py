@@ -34,6 +34,7 @@ def column_edges(row):
     return [(e["source"].split(":")[1], e["target"].split(":")[1]) for e in row["edges"] if e["edge_type"] == "column_lineage"]
 
 
+#: The statements, names and outcomes that an analysis must reproduce (FIXTURES.md, section 2).
 GOLDEN = [
     # sql, catalog, status, codes, column edges
     ("select a from t", (), "success", [], [("t.a", "a")]),

@@ -33,7 +33,7 @@ def test_core_never_imports_the_text_subpackage():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p5_found", "catalog_columns_by_name", "import_commit", "parse_status", "source_tables", "structure_edges_of_statements", "graph_table_view"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p5_found", "catalog_columns_by_name", "import_commit", "parse_status", "source_tables", "structure_edges_of_statements", "graph_table_view", "analysis_diagnostics", "corpus_analysis_summary", "corpus_lineage_columns", "corpus_selected"])
 def test_queries_agree_with_their_sql(spark, name, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     registry.queries()[name](spark, DATA).write.parquet(str(tmp_path / "got"))

@@ -41,11 +41,23 @@ def test_output_fields(sql, expected):
     assert items(sql) == expected
 
 
-@pytest.mark.parametrize("sql", ["", "  ", None, ";", "select from", "select a from t where", "select a b c from t", "select a,, b from t", "select (a from t", "drop table t", "select a from t; select b from u", "select a from t group", "with a as select 1", "(" * 5000])
+@pytest.mark.parametrize("sql", ["", "  ", None, ";", "select from", "select a from t where", "select a b c from t", "select a,, b from t", "select (a from t", "drop table t", "select a from t; select b from u", "select a from t group", "with a as select 1", "(" * 50_000])
 def test_rejected(sql):
     facts, error = parse_facts(sql)
     assert facts is None
     assert error.startswith("SQL parse error:")
+    assert parse_facts(sql, "doris")[1].startswith("SQL parse error (doris):")
+
+
+def test_deep_nesting():
+    deep = "(" * 3000 + "a" + ")" * 3000
+    assert parse_facts(f"select {deep} as x from t")[0].items[0]["name"] == "x"
+    assert parse_facts("select a from " + "(select a from " * 500 + "t" + ") q" * 500)[0].has_subquery
+
+
+def test_other_dialects():
+    assert tables("select a.x from t a straight_join u b on a.k = b.k") == [("t", "a", "", True), ("u", "b", "", True)]
+    assert items("select doc->>'$.k' as k from t") == [("k", "doc ->> '$.k'", "expression")]
 
 
 def test_tables_and_scopes():
