@@ -16,7 +16,7 @@ import json
 from collections.abc import Iterator, Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +56,8 @@ def unwrap(envelope: dict | None) -> dict | None:
     return inner if isinstance(inner, dict) else decode_object(inner) if isinstance(inner, str) else None
 
 
-def _text(value: Any) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+_flat = json.JSONEncoder(ensure_ascii=False).encode
+_nested = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
 
 
 class Visitor:
@@ -76,16 +76,21 @@ class Visitor:
             node, way, at = todo.pop()
             below, flat = [], {}
             for name, value in node.items():
-                deeper = (*way, name)
-                declared = deeper in self.tags
-                inner = value if isinstance(value, list) else [value] if declared and isinstance(value, dict) else ()
-                objects = [(x, deeper, (*at, k)) for k, x in enumerate(inner) if isinstance(x, dict)]
-                below += objects
-                if not declared and not objects:
-                    flat[name] = _text(value)
-            parent = list(at[:-1]) if at else None
-            yield self.tags.get(way, OTHER), list(at), parent, ".".join(way), json.dumps(flat, ensure_ascii=False)
-            todo += reversed(below)
+                if value is None or value.__class__ is str:
+                    flat[name] = value
+                elif not isinstance(value, (list, dict)):
+                    flat[name] = _flat(value)
+                else:
+                    deeper = (*way, name)
+                    declared = deeper in self.tags
+                    inner = value if isinstance(value, list) else [value] if declared else ()
+                    objects = [(x, deeper, (*at, k)) for k, x in enumerate(inner) if isinstance(x, dict)]
+                    below += objects
+                    if not declared and not objects:
+                        flat[name] = _nested(value)
+            yield self.tags.get(way, OTHER), at, at[:-1] if at else None, ".".join(way), _flat(flat)
+            below.reverse()
+            todo += below
 
 
 def flatten_payloads(payloads: DataFrame, key: str = "payload_id", body: str = "body", shape: Mapping[str, tuple[tuple[str, ...], str]] = SHAPE) -> dict[str, DataFrame]:
@@ -102,25 +107,30 @@ def flatten_payloads(payloads: DataFrame, key: str = "payload_id", body: str = "
     """
     spark = payloads.sparkSession
     visitor = Visitor(shape)
-    names = ["tag", "payload_id", "body_id", "pos", "parent", "path", "payload"]
+    longs = pa.list_(pa.int64())
+    kinds = [("tag", pa.string()), ("payload_id", pa.int64()), ("body_id", pa.int64()), ("pos", longs), ("parent", longs), ("path", pa.string()), ("payload", pa.string())]
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for payload_id, body_id, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2]):
-                root = unwrap(decode_object(text if isinstance(text, str) else None))
+            for payload_id, body_id, text in zip(*[c.to_pylist() for c in batch.columns]):
+                root = unwrap(decode_object(text))
                 if root is not None:
                     for tag, *rest in visitor.visit(root):
                         rows.append((tag, payload_id, body_id, *rest))
                         if len(rows) >= 20_000:
-                            yield pd.DataFrame(rows, columns=names)
+                            yield packed(rows)
                             rows = []
-            yield pd.DataFrame(rows, columns=names)
+            yield packed(rows)
 
     row = hashed(*[F.col(f"`{c}`").cast("string") for c in payloads.columns])
     slim = payloads.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("payload_id"), row.alias("body_id"), F.col(body).alias("body"))
     path = scratch_path(spark, "flattened")
-    slim.mapInPandas(emit, EMITTED).write.partitionBy("tag").parquet(path)
+    slim.mapInArrow(emit, EMITTED).write.partitionBy("tag").parquet(path)
     wide = spark.read.schema(EMITTED).parquet(path)
     tag_of = {way: tag for tag, (way, _) in shape.items()}
     out = {}
