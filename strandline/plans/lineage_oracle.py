@@ -144,6 +144,16 @@ ENGINE = rf"""clean AS MATERIALIZED (
 )"""
 
 _ID = "(SELECT sid, sql_id FROM facts)"
+_PARTS = """, objects AS MATERIALIZED (
+  SELECT s.sid, t.fullkey, t.value AS v FROM stmts s, json_tree(s.j) t WHERE s.ok AND t.type = 'OBJECT' AND t.value ->> '$.type' IN ('JOIN', 'FUNCTION')
+)"""
+#: Selects that look at more of the tree than ENGINE keeps.
+MORE = {
+    "statement_semantics": _PARTS + """ SELECT sql_id, n_tables, (SELECT count(*) FROM objects o WHERE o.sid = f.sid AND o.v ->> '$.type' = 'JOIN' AND o.v ->> '$.is_implicit' = 'false') AS n_joins,
+        (SELECT count(*) FROM ctes c WHERE c.sid = f.sid) AS n_ctes, n_fields AS n_items,
+        (SELECT count(DISTINCT regexp_extract(o.fullkey, 'select_list\\[(\\d+)\\]', 1)) FROM objects o WHERE o.sid = f.sid AND starts_with(o.fullkey, '$.statements[0].node.select_list[') AND o.v ->> '$.function_name' IN ('count', 'count_star', 'sum', 'avg', 'min', 'max')) AS n_aggregates,
+        has_sub AS has_subquery FROM facts f WHERE ok""",
+}
 SELECTS = {
     "parse_status": "SELECT sql_id, ok AS parse_ok, sniff AS sniffs_cte, dialect FROM facts",
     "output_field_names": f"""SELECT sql_id, CAST(k AS INTEGER) AS pos, kind, alias, qualifier, col AS column_name, CASE WHEN alias = '' AND (kind = 'column' OR kind = 'star' AND qualifier <> '') THEN 'unknown' ELSE 'expression' END AS source_type

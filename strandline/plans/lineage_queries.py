@@ -537,6 +537,7 @@ ORACLES |= {
                CASE status WHEN 'partial' THEN 'medium' ELSE 'high' END AS confidence FROM sums JOIN results USING (sid)""",
 }
 ORACLES |= {name: f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
+ORACLES |= {name: f"WITH {_LATEST}, {lineage_oracle.DATA}, {lineage_oracle.ENGINE}{more}" for name, more in lineage_oracle.MORE.items()}
 ORACLES |= {f"corpus_{name}": f"WITH {lineage_oracle.CORPUS}, {lineage_oracle.ENGINE} {select}" for name, select in lineage_oracle.SELECTS.items()}
 P3_FOUND = f"""WITH {_PAYLOADS}
 SELECT payload_id, table_pos, table_name, column_pos, column_name FROM named_columns
