@@ -145,14 +145,24 @@ ENGINE = rf"""clean AS MATERIALIZED (
 
 _ID = "(SELECT sid, sql_id FROM facts)"
 _PARTS = """, objects AS MATERIALIZED (
-  SELECT s.sid, t.fullkey, t.value AS v FROM stmts s, json_tree(s.j) t WHERE s.ok AND t.type = 'OBJECT' AND t.value ->> '$.type' IN ('JOIN', 'FUNCTION')
+  SELECT s.sid, t.fullkey, t.value AS v FROM stmts s, json_tree(s.j) t WHERE s.ok AND t.type = 'OBJECT' AND t.value ->> '$.type' IN ('JOIN', 'FUNCTION', 'COLUMN_REF')
 )"""
+_IN_LIST = "starts_with(o.fullkey, '$.statements[0].node.select_list[') AND NOT contains(o.fullkey, '.subquery')"
 #: Selects that look at more of the tree than ENGINE keeps.
 MORE = {
     "statement_semantics": _PARTS + """ SELECT sql_id, n_tables, (SELECT count(*) FROM objects o WHERE o.sid = f.sid AND o.v ->> '$.type' = 'JOIN' AND o.v ->> '$.is_implicit' = 'false') AS n_joins,
         (SELECT count(*) FROM ctes c WHERE c.sid = f.sid) AS n_ctes, n_fields AS n_items,
         (SELECT count(DISTINCT regexp_extract(o.fullkey, 'select_list\\[(\\d+)\\]', 1)) FROM objects o WHERE o.sid = f.sid AND starts_with(o.fullkey, '$.statements[0].node.select_list[') AND o.v ->> '$.function_name' IN ('count', 'count_star', 'sum', 'avg', 'min', 'max')) AS n_aggregates,
         has_sub AS has_subquery FROM facts f WHERE ok""",
+    "expression_sources": _PARTS + f""", mentioned AS (
+          SELECT DISTINCT o.sid, CAST(regexp_extract(o.fullkey, 'select_list\\[(\\d+)\\]', 1) AS BIGINT) AS k, coalesce(path[-2], '') AS q, path[-1] AS col
+          FROM (SELECT o.*, from_json(v -> '$.column_names', '["varchar"]') AS path FROM objects o WHERE v ->> '$.type' = 'COLUMN_REF') o JOIN stmts s USING (sid)
+          WHERE {_IN_LIST} AND NOT contains(substr(regexp_replace(s.sql, '{BLANK}', ' ', 'g'), CAST(o.v ->> '$.query_location' AS BIGINT) + 1, CAST(o.v ->> '$.query_location_length' AS BIGINT)), '"')
+        ), summed AS (SELECT DISTINCT sid, CAST(regexp_extract(fullkey, 'select_list\\[(\\d+)\\]', 1) AS BIGINT) AS k FROM objects o WHERE {_IN_LIST} AND v ->> '$.function_name' IN ('count', 'count_star', 'sum', 'avg', 'min', 'max'))
+        SELECT f.sql_id, CAST(m.k AS INTEGER) AS pos, CASE WHEN m.q <> '' THEN coalesce((SELECT arg_max(r.name, r.k) FROM refs r WHERE r.sid = m.sid AND r.alias = m.q), (SELECT min(r.name) FROM refs r WHERE r.sid = m.sid AND r.name = m.q))
+                    WHEN f.n_tables = 1 THEN (SELECT min(r.name) FROM refs r WHERE r.sid = m.sid) END AS source_table, m.col AS source_column,
+               CASE WHEN x.kind = 'column' THEN 'direct' WHEN a.k IS NOT NULL THEN 'aggregate' ELSE 'expression' END AS relation
+        FROM mentioned m JOIN facts f USING (sid) JOIN fields x ON x.sid = m.sid AND x.k = m.k LEFT JOIN summed a ON a.sid = m.sid AND a.k = m.k""",
 }
 SELECTS = {
     "parse_status": "SELECT sql_id, ok AS parse_ok, sniff AS sniffs_cte, dialect FROM facts",

@@ -189,6 +189,11 @@ def expression_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expression_lineage.mappings(_facts(spark, sf_dir))
 
 
+def expression_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that every select item is made of, and how."""
+    return expression_mappings(spark, sf_dir).select("sql_id", "pos", "source_table", "source_column", "relation")
+
+
 def lineage_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expression_lineage.roll_up(lineage_columns(spark, sf_dir))
 
@@ -362,7 +367,7 @@ QUERIES = {
     for f in (
         catalog_tables, catalog_columns, catalog_columns_of_table, catalog_columns_by_name, catalog_count, import_preview, import_commit, import_summary,
         import_change_groups, import_log_counts, output_fields, source_tables, source_locations, structure_edges_of_statements,
-        analysis_json, health, corpus_expressions, corpus_dangling, expression_mappings, lineage_roll_up,
+        analysis_json, health, corpus_expressions, corpus_dangling, expression_mappings, expression_sources, lineage_roll_up,
         statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds, graph_table_positions, graph_entities,
         graph_neighbourhood, graph_upstream, formatted_statements, graph_search, corpus_column_places, corpus_columns_only, corpus_made_results, corpus_selected, corpus_highlights, corpus_search, column_table_links, cursor_matches, completion_order, hover_columns,
     )
