@@ -53,7 +53,8 @@ ENGINE = rf"""clean AS MATERIALIZED (
   FROM tree WHERE v ->> '$.type' = 'BASE_TABLE'
 ), fields AS MATERIALIZED (
   -- a name in double quotes is a text in these dialects, whatever the checking database thinks
-  SELECT sid, k, kind, alias, CASE kind WHEN 'star' THEN coalesce(x ->> '$.relation_name', '') WHEN 'column' THEN coalesce(path[-2], '') ELSE '' END AS qualifier, CASE kind WHEN 'column' THEN path[-1] ELSE '' END AS col
+  SELECT sid, k, kind, alias, CASE kind WHEN 'star' THEN coalesce(x ->> '$.relation_name', '') WHEN 'column' THEN coalesce(path[-2], '') ELSE '' END AS qualifier, CASE kind WHEN 'column' THEN path[-1] ELSE '' END AS col,
+         CAST(x ->> '$.query_location' AS BIGINT) AS loc, CAST(x ->> '$.query_location_length' AS BIGINT) AS size
   FROM (SELECT *, coalesce(x ->> '$.alias', '') AS alias, from_json(x -> '$.column_names', '["varchar"]') AS path,
                CASE WHEN x ->> '$.class' = 'STAR' THEN 'star' WHEN x ->> '$.class' = 'COLUMN_REF' AND NOT contains(substr(flat, CAST(x ->> '$.query_location' AS BIGINT) + 1, CAST(x ->> '$.query_location_length' AS BIGINT)), '"') THEN 'column' ELSE 'expr' END AS kind
         FROM (SELECT sid, flat, unnest(range(len(xs))) AS k, unnest(xs) AS x FROM
@@ -154,6 +155,9 @@ MORE = {
         (SELECT count(*) FROM ctes c WHERE c.sid = f.sid) AS n_ctes, n_fields AS n_items,
         (SELECT count(DISTINCT regexp_extract(o.fullkey, 'select_list\\[(\\d+)\\]', 1)) FROM objects o WHERE o.sid = f.sid AND starts_with(o.fullkey, '$.statements[0].node.select_list[') AND o.v ->> '$.function_name' IN ('count', 'count_star', 'sum', 'avg', 'min', 'max')) AS n_aggregates,
         has_sub AS has_subquery FROM facts f WHERE ok""",
+    "column_locations": f""", spots AS (
+          SELECT f.sid, f.k, s.sql_id, substr(s.sql, 1, f.loc) AS before, f.size AS len FROM fields f JOIN stmts s USING (sid) WHERE f.kind = 'column'
+        ) SELECT sql_id, CAST(k AS INTEGER) AS pos, CAST(len(string_split_regex(before, '\\r\\n|\\r|\\n')) AS INTEGER) AS line, CAST(length(string_split_regex(before, '\\r\\n|\\r|\\n')[-1]) + 1 AS INTEGER) AS col, CAST(len AS INTEGER) AS len FROM spots""",
     "expression_sources": _PARTS + f""", mentioned AS (
           SELECT DISTINCT o.sid, CAST(regexp_extract(o.fullkey, 'select_list\\[(\\d+)\\]', 1) AS BIGINT) AS k, coalesce(path[-2], '') AS q, path[-1] AS col
           FROM (SELECT o.*, from_json(v -> '$.column_names', '["varchar"]') AS path FROM objects o WHERE v ->> '$.type' = 'COLUMN_REF') o JOIN stmts s USING (sid)

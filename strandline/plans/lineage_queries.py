@@ -94,6 +94,12 @@ def source_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.source_locations(_facts(spark, sf_dir))
 
 
+def column_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line, column and length of the items that are plain columns."""
+    plain = _facts(spark, sf_dir).withColumn("items", F.filter("items", lambda i: i["kind"] == "column"))
+    return st.source_locations(plain).select("sql_id", "pos", "line", "col", "len")
+
+
 def structure_edges_of_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of table structure, or of CTE structure where the text begins with WITH."""
     found = F.when(F.col("sniffs_cte"), structure.cte_structure()).otherwise(structure.table_structure())
@@ -366,7 +372,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_tables, catalog_columns, catalog_columns_of_table, catalog_columns_by_name, catalog_count, import_preview, import_commit, import_summary,
-        import_change_groups, import_log_counts, output_fields, source_tables, source_locations, structure_edges_of_statements,
+        import_change_groups, import_log_counts, output_fields, source_tables, source_locations, column_locations, structure_edges_of_statements,
         analysis_json, health, corpus_expressions, corpus_dangling, expression_mappings, expression_sources, lineage_roll_up,
         statement_semantics, graph_dangling, graph_view_nodes, graph_view_edges, graph_table_view, graph_levels, graph_layout, graph_bounds, graph_table_positions, graph_entities,
         graph_neighbourhood, graph_upstream, formatted_statements, graph_search, corpus_column_places, corpus_columns_only, corpus_made_results, corpus_selected, corpus_highlights, corpus_search, column_table_links, cursor_matches, completion_order, hover_columns,

@@ -118,11 +118,11 @@ def source_tables(facts: DataFrame) -> DataFrame:
 
 
 def source_locations(facts: DataFrame) -> DataFrame:
-    """Line and column, from 1, and length of every select item in its statement."""
+    """Line and column, from 1, place in the list and length of every select item in its statement."""
     items = facts.select("sql_id", "sql", F.explode("items").alias("i"))
     before = F.substring("sql", F.lit(1), F.col("i.start"))
     lines = F.split(before, "\r\n|\r|\n", -1)
     return items.select(
-        "sql_id", F.concat(F.lit("output_column:"), F.col("i.name")).alias("entity_id"), F.size(lines).alias("line"),
+        "sql_id", F.col("i.pos").alias("pos"), F.concat(F.lit("output_column:"), F.col("i.name")).alias("entity_id"), F.size(lines).alias("line"),
         (F.length(F.element_at(lines, -1)) + 1).alias("col"), (F.col("i.end") - F.col("i.start")).alias("len"),
     )
